@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelindan.llm import components, houselines, refmatch, survivors
+from kelindan.llm import components, houselines, neardup, packing, refmatch, spans, survivors, tokens
 from kelindan.session import table
 
 
@@ -24,6 +24,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.connected_components(pairs.unionByName(marked)).select(F.col("id").alias("doc_id"), "group_id")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.all_pairs(*neardup.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.7))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     incidents = table(spark, sf_dir, "incidents").select("incident_id", "kabkota", "province")
     codes = table(spark, sf_dir, "kabkota_codes").select(
@@ -38,7 +42,20 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return houselines.repeated_lines(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_fused": p1_fused, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode_texts(table(spark, sf_dir, "documents"))
+
+
+def p9_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = tokens.encode_texts(table(spark, sf_dir, "documents")).select("doc_id", F.size("ids").alias("n_tokens"))
+    return packing.pack(sizes, "doc_id", "n_tokens", 2048)
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_spans(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_fused": p1_fused, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_packed": p9_packed, "p10_found": p10_found}
 
 ORACLES = {
     "p1_found": r"""
