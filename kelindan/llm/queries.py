@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelindan.llm import components, houselines, neardup, packing, refmatch, spans, survivors, tokens
+from kelindan.llm import boilerplate, components, houselines, neardup, packing, refmatch, spans, survivors, tokens
 from kelindan.session import table
 
 
@@ -18,6 +18,14 @@ def p1_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.fuse_fields(corpus, "cluster_id", "doc_id", "domain", ["title", "author", "day"])
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = boilerplate.body_lines(table(spark, sf_dir, "page_cache"), "page_id", "html", "domain", None, "page")
+    raw = boilerplate.body_lines(table(spark, sf_dir, "documents").where("status = 'raw_text'"), "doc_id", "text", "domain", "title", "doc")
+    return pages.select(F.lit("page").alias("origin"), F.col("page_id").alias("rec_id"), "line_no").unionByName(
+        raw.select(F.lit("doc").alias("origin"), F.col("doc_id").alias("rec_id"), "line_no")
+    )
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = table(spark, sf_dir, "match_pairs").where("verdict = 'same' and doc_a <> doc_b").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
     marked = table(spark, sf_dir, "corpus").where("duplicate_of <> '' and duplicate_of <> doc_id").select(F.col("doc_id").alias("a"), F.col("duplicate_of").alias("b"))
@@ -55,7 +63,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_spans(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_fused": p1_fused, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_packed": p9_packed, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_fused": p1_fused, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_packed": p9_packed, "p10_found": p10_found}
 
 ORACLES = {
     "p1_found": r"""
