@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kelindan.session import keep
+
 # Type words with their short forms, and short forms of compass and similar words.
 TYPE_WORDS = {
     "kabupaten": "kabupaten", "kab": "kabupaten", "kabup": "kabupaten", "kbp": "kabupaten", "kabu": "kabupaten", "regency": "kabupaten",
@@ -106,6 +108,14 @@ class Trie:
         return sorted((d, e) for e, d in found.items())
 
 
+def nearest(trie: Trie, word: str, most: int) -> list[tuple[int, int]]:
+    """What ``search`` finds at the least distance that finds anything: the automaton runs with a growing bound, as a small one cuts off early."""
+    for bound in range(most + 1):
+        if hits := trie.search(word, bound):
+            return hits
+    return []
+
+
 def two_edits(name: str) -> int:
     """The distance allowed for a name of any length, as TESTDATA.md has it."""
     return 2
@@ -118,6 +128,7 @@ def match_reference(
     region: str | None = None,
     allowed: Callable[[str], int] = two_edits,
     most_entries: int = 200_000,
+    values_per_task: int = 2_000,
 ) -> DataFrame:
     """(value, region, code): every distinct non-blank ``value`` (and ``region``, a column that names a province) with the code meant, or ``none``.
 
@@ -145,7 +156,7 @@ def match_reference(
             out = []
             for typed, where in zip(pdf["value"], pdf["region"]):
                 t = read_typed(typed, provinces)
-                hits = tries[t.kind].search(t.name, allowed(t.name)) if t.name and t.kind in tries else []
+                hits = nearest(tries[t.kind], t.name, allowed(t.name)) if t.name and t.kind in tries else []
                 here = " ".join(words(where or ""))
                 best = min(((d, " ".join(words(entries[e][3])) != here, entries[e][0]) for d, e in hits), default=None)
                 out.append(best[2] if best else "none")
@@ -153,4 +164,7 @@ def match_reference(
 
     place = F.col(region).cast("string") if region else F.lit(None).cast("string")
     typed = rows.where(F.col(value).rlike(r"[^\s\x85   -     　﻿]")).select(F.col(value).alias("value"), place.alias("region")).distinct()
+    # A spelling is few bytes but much work: tasks are cut by number of spellings, not by bytes.
+    typed = keep(typed, "typed")
+    typed = typed.repartition(max(1, -(-typed.count() // values_per_task)))
     return typed.mapInPandas(match, "value string, region string, code string")
