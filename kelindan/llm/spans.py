@@ -121,6 +121,7 @@ def shared_spans(
         for p in patterns["said"].to_pylist():
             automaton.add_word(tuple(numbers.setdefault(w, len(numbers) + 1) for w in p.split(" ")))
         out_d, out_at, out_h = [], [], []
+        shard = patterns["shard"][0].as_py() if len(patterns) else -1
         if len(automaton):
             automaton.make_automaton()
             hashes = WordHashes()
@@ -129,11 +130,13 @@ def shared_spans(
                 mask = np.zeros(len(words) - span + 1, dtype=bool)
                 for end, _ in automaton.iter(tuple(numbers.get(w, 0) for w in words)):
                     mask[max(0, end + 1 - span) : end + 2 - phrase] = True
-                starts = np.nonzero(mask)[0]
+                h = hashes.of(words)
+                # A run is told by the shard of its least phrase, so that it comes out once however many shards its stretch goes to.
+                starts = np.nonzero(mask & (_least_phrases(h, span, phrase).view(np.int64) % shards == shard))[0]
                 if len(starts):
                     out_d.append(np.full(len(starts), i))
                     out_at.append(starts + at)
-                    out_h.append(run_hashes(hashes.of(words), span)[starts])
+                    out_h.append(run_hashes(h, span)[starts])
         of, at, h = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((out_d, np.int64), (out_at, np.int64), (out_h, np.uint64)))
         return pa.table({"d": stretches["d"].take(pa.array(of)), "at": pa.array(at.astype(np.int32)), "h": pa.array(h.view(np.int64))})
 
