@@ -43,7 +43,7 @@ def _stretches(mask: np.ndarray, span: int) -> list[tuple[int, int]]:
 
 
 def shared_spans(
-    docs: DataFrame, doc: str = "doc_id", text: str = "text", span: int = 50, phrase: int = 26, bits: int = 26, phrases_per_shard: int = 25_000, stretches_per_task: int = 10_000
+    docs: DataFrame, doc: str = "doc_id", text: str = "text", span: int = 50, phrase: int = 26, bits: int = 26, phrases_per_shard: int = 100_000, stretches_per_task: int = 10_000
 ) -> DataFrame:
     """(doc, start_word, end_word): the maximal stretches of words, end exclusive, that lie in ``span`` consecutive words which also stand, in a row, in
     another record.
