@@ -19,8 +19,9 @@ def _accents() -> tuple[str, str]:
 
 
 def deaccent(c: Column) -> Column:
-    """Without accents and combining marks; stays inside the JVM."""
-    return F.translate(c, *_accents())
+    """Without accents and combining marks; stays inside the JVM. Most texts are plain ASCII, which a regular expression tells much faster than
+    ``translate`` goes through them."""
+    return F.when(c.rlike(r"[^\x00-\x7f]"), F.translate(c, *_accents())).otherwise(c)
 
 
 def collapse(c: Column) -> Column:

@@ -1,7 +1,6 @@
 """Linking articles to events by time window and named venue or place, refusing to guess where several match.
 
-Terms become equi-join keys: a text's runs of words as long as the terms are joined with the terms, so that no article meets every event. The date window
-is a condition on what joined.
+Terms become equi-join keys by their rarest word, so that no article meets every event. The date window is a condition on what joined.
 """
 
 from __future__ import annotations
@@ -13,6 +12,10 @@ from kelindan.functions import text as T
 from kelindan.session import keep
 
 
+#: Length of the buckets of dates; any value gives the same result.
+BUCKET_DAYS = 32
+
+
 def event_terms(events: DataFrame) -> DataFrame:
     """(event_id, opens, closes, kind, term): where an event can be named, and when. ``events``: event_id, date_start, date_end, venues (array), place. Events
     without a date or a place are left out; venues need 8 normalised characters and must not be unspecified."""
@@ -27,25 +30,44 @@ def event_terms(events: DataFrame) -> DataFrame:
     return as_terms("venue").unionByName(as_terms("place")).distinct()
 
 
-def _runs(words: str, n: int) -> Column:
-    starts = F.sequence(F.lit(1), F.size(words) - n + 1)
-    return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+def _keys(words: Column) -> Column:
+    """Words of an array and pairs of neighbours."""
+    n = F.size(words)
+    pairs = F.when(n > 1, F.zip_with(F.slice(words, F.lit(1), n - 1), F.slice(words, F.lit(2), n - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
+    return F.array_distinct(F.concat(words, F.coalesce(pairs, F.array().cast("array<string>"))))
+
+
+def anchors(terms: DataFrame) -> DataFrame:
+    """(term, anchor): a term of one word or two is its own anchor; of a longer one it is the pair of neighbours that is in the fewest terms, as a first
+    word may be in thousands."""
+    each = terms.select("term").distinct().select("term", F.explode(_keys(F.split("term", " "))).alias("w"))
+    own = each.where("w = term").select("term", F.col("w").alias("anchor"))
+    pairs = each.where("instr(w, ' ') > 0").join(own.select("term"), "term", "left_anti")
+    rare = pairs.groupBy("w").agg(F.count("*").alias("n"))
+    return own.unionByName(pairs.join(rare, "w").groupBy("term").agg(F.min(F.struct("n", "w")).alias("m")).select("term", F.col("m.w").alias("anchor")))
 
 
-def find_terms(texts: DataFrame, terms: DataFrame, doc: str, text: Column) -> DataFrame:
-    """(doc, term) of the terms that stand in a text as whole words. The lengths of the terms in words, which are few, are looked up first. Words are
-    materialised before the lambdas, which would else split the text for every run."""
-    sized = terms.select("term").distinct()
-    lengths = sorted(r.n for r in sized.select(F.size(F.split("term", " ")).alias("n")).distinct().collect())
-    words = keep(texts.select(doc, F.split(F.trim(T.norm_padded(text)), " ").alias("w")).where("w[0] <> ''"), "words")
-    runs = words.select(doc, F.explode(F.array_distinct(F.flatten(F.array(_runs("w", lengths[0] if lengths else 1), *[_runs("w", n) for n in lengths[1:]])))).alias("term"))
-    return runs.join(sized, "term", "left_semi")
+def find_terms(texts: DataFrame, terms: DataFrame, doc: str, text: Column, anchored: DataFrame | None = None) -> DataFrame:
+    """(doc, term) of the terms that stand in a text as whole words: texts' words and pairs of words meet the terms' anchors in an equi-join, which decides
+    terms of up to two words. Longer ones that met are looked up in the text, which is joined back once per document. ``anchored``: the terms' anchors, where
+    they are at hand."""
+    padded = texts.select(doc, T.norm_padded(text).alias("__t"))
+    keys = padded.select(doc, F.split(F.trim("__t"), " ").alias("__w")).select(doc, F.explode(_keys(F.col("__w"))).alias("anchor"))
+    met = keep(keys.join(anchors(terms) if anchored is None else anchored, "anchor"), "met")
+    short = met.where("anchor = term").select(doc, "term")
+    long = met.where("anchor <> term").groupBy(doc).agg(F.collect_set("term").alias("__terms"))
+    said = padded.join(long, doc).select(doc, F.explode(F.filter("__terms", lambda t: F.contains(F.col("__t"), F.concat(F.lit(" "), t, F.lit(" "))))).alias("term"))
+    return short.unionByName(said).distinct()
 
 
-def matches(articles: DataFrame, terms: DataFrame, doc: str, text: Column, when: str) -> DataFrame:
+def matches(articles: DataFrame, terms: DataFrame, doc: str, text: Column, when: str, anchored: DataFrame | None = None) -> DataFrame:
     """(doc, event_id, kind): events whose window holds the article's date and which its text names; if any is named by its venue, only those."""
-    found = find_terms(articles, terms, doc, text).join(articles.select(doc, when).where(F.col(when).isNotNull()), doc)
-    hit = found.join(terms, "term").where(F.col(when).between(F.col("opens"), F.col("closes")))
+    # Dates are part of the key, in buckets about as long as a window: a place with many events meets an article only with those of its weeks.
+    bucket = lambda c: F.floor(F.unix_date(c) / BUCKET_DAYS)
+    dated = articles.select(doc, when, bucket(F.col(when)).alias("bucket")).where(F.col(when).isNotNull())
+    found = find_terms(articles.where(F.col(when).isNotNull()), terms, doc, text, anchored).join(dated, doc)
+    spread = terms.withColumn("bucket", F.explode(F.sequence(bucket(F.col("opens")), bucket(F.col("closes")))))
+    hit = found.join(spread, ["term", "bucket"]).where(F.col(when).between(F.col("opens"), F.col("closes")))
     one = hit.groupBy(doc, "event_id").agg(F.max("kind").alias("kind"))
     best = one.groupBy(doc).agg(F.max("kind").alias("best"))
     return one.join(best, doc).where("kind = best").select(doc, "event_id", "kind")

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from kelindan.functions import text as T
 from kelindan.operators import corpus as C
-from kelindan.session import table
+from kelindan.session import spread, table
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text", "domain", "title", "n_chars", "publish_date")
+    return spread(table(spark, d, "documents").select("doc_id", "text", "domain", "title", "n_chars", "publish_date"))
 
 
 def exact_dup_groups(spark: SparkSession, d: str) -> DataFrame:

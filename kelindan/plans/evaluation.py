@@ -14,7 +14,7 @@ _FLAGS = {"ill": r"sakit|mual|muntah|diare", "lab": r"laborat|hasil uji", "polic
 
 
 def _coded(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").dropDuplicates(["doc_id"])
+    docs = table(spark, d, "documents")  # doc_id is unique
     return docs.select("doc_id", "source", "lang", "status", "domain", "via", *[F.coalesce(F.col("text").rlike("(?i)" + p), F.lit(False)).alias(k) for k, p in _FLAGS.items()])
 
 

@@ -10,11 +10,12 @@ from kelindan.functions import lexicon as X
 from kelindan.functions import text as T
 from kelindan.operators import incidents as I
 from kelindan.operators import linking as K
-from kelindan.session import table
+from kelindan.session import keep, spread, table
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null").select("doc_id", "title", "text", "source", "lang", "publish_date", "domain").dropDuplicates(["doc_id"])
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "title", "text", "source", "lang", "publish_date", "domain")
+    return spread(docs)  # doc_id is unique
 
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:
@@ -33,9 +34,10 @@ def containment_link(spark: SparkSession, d: str) -> DataFrame:
 
 
 def link_tiers(spark: SparkSession, d: str) -> DataFrame:
-    docs, terms = _docs(spark, d).withColumn("day", T.first_day(F.col("publish_date"))), _terms(spark, d)
+    docs, terms = _docs(spark, d).withColumn("day", T.first_day(F.col("publish_date"))), keep(_terms(spark, d), "terms")
+    anchored = keep(K.anchors(terms), "anchors")
     lead = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.substring("text", 1, 500))
-    strong, weak = K.matches(docs, terms, "doc_id", lead, "day"), K.matches(docs, terms, "doc_id", F.col("text"), "day")
+    strong, weak = K.matches(docs, terms, "doc_id", lead, "day", anchored), K.matches(docs, terms, "doc_id", F.col("text"), "day", anchored)
     return K.decide(docs, strong, weak, "doc_id")
 
 

@@ -29,6 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan that comes in fewer splits than there are cores, as a small file does, is spread over them, for queries whose work per row is large. A
+    scan of many splits stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share. The cluster names it in ``spark.checkpoint.dir``; only where that is unset
     (tests, a single machine) a temporary folder of this machine takes its place."""
