@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelindan.llm import boilerplate, components, houselines, neardup, packing, refmatch, spans, survivors, tokens
-from kelindan.session import table
+from kelindan.session import spread, table
+
+
+def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", *columns))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +23,7 @@ def p1_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = boilerplate.body_lines(table(spark, sf_dir, "page_cache"), "page_id", "html", "domain", None, "page")
+    pages = boilerplate.body_lines(spread(table(spark, sf_dir, "page_cache").select("page_id", "html", "domain")), "page_id", "html", "domain", None, "page")
     raw = boilerplate.body_lines(table(spark, sf_dir, "documents").where("status = 'raw_text'"), "doc_id", "text", "domain", "title", "doc")
     return pages.select(F.lit("page").alias("origin"), F.col("page_id").alias("rec_id"), "line_no").unionByName(
         raw.select(F.lit("doc").alias("origin"), F.col("doc_id").alias("rec_id"), "line_no")
@@ -33,7 +37,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.all_pairs(*neardup.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.7))
+    return neardup.all_pairs(*neardup.near_duplicates(_documents(spark, sf_dir), threshold=0.7))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,20 +51,20 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return houselines.repeated_lines(table(spark, sf_dir, "documents"))
+    return houselines.repeated_lines(_documents(spark, sf_dir, "domain"))
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.encode_texts(table(spark, sf_dir, "documents"))
+    return tokens.encode_texts(_documents(spark, sf_dir))
 
 
 def p9_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = tokens.encode_texts(table(spark, sf_dir, "documents")).select("doc_id", F.size("ids").alias("n_tokens"))
+    sizes = tokens.encode_texts(_documents(spark, sf_dir)).select("doc_id", F.size("ids").alias("n_tokens"))
     return packing.pack(sizes, "doc_id", "n_tokens", 2048)
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.shared_spans(table(spark, sf_dir, "documents"))
+    return spans.shared_spans(_documents(spark, sf_dir))
 
 
 QUERIES = {"p1_found": p1_found, "p1_fused": p1_fused, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_packed": p9_packed, "p10_found": p10_found}
