@@ -78,3 +78,20 @@ def share(rows: DataFrame, flags: list[str]) -> DataFrame:
     """(name, n, share) of boolean columns, by one aggregate over all and an unpivot of its single row."""
     one = rows.agg(F.count("*").alias("__n"), *[F.count_if(F.col(f)).alias(f) for f in flags])
     return one.unpivot(["__n"], flags, "name", "n").select("name", "n", F.round(F.col("n") / F.col("__n"), 6).alias("share"))
+
+
+def label_problems(labels: DataFrame, key: str, domains: dict[str, list[str]]) -> DataFrame:
+    """(key, column, problem) of labels that are missing or not of their column's domain, compared trimmed and in upper case; no rows: the sheet is fit for scoring."""
+    out = None
+    for column, valid in domains.items():
+        v = F.upper(F.trim(F.coalesce(F.col(column), F.lit(""))))
+        one = labels.select(key, F.lit(column).alias("column"), F.when(v == "", "missing").when(~v.isin(valid), "invalid").alias("problem")).where("problem is not null")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def repeat_agreement(labels: DataFrame, item: str, repeat_of: str, label: str) -> DataFrame:
+    """(n, same) of items that were shown twice: the repeat against its original."""
+    first = labels.select(F.col(item).alias("__o"), F.col(label).alias("__l"))
+    pairs = labels.where(F.col(repeat_of).isNotNull()).join(first, F.col(repeat_of) == F.col("__o"))
+    return pairs.agg(F.count("*").alias("n"), F.count_if(F.col(label) == F.col("__l")).alias("same"))

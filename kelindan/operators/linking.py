@@ -83,3 +83,20 @@ def decide(articles: DataFrame, strong: DataFrame, weak: DataFrame, doc: str) ->
         F.when(F.size("s") > 0, "headline_or_lead").when(F.size("w") > 0, "body_only").otherwise("").alias("tier"),
         F.array_join(F.coalesce("s", "w", F.array().cast("array<string>")), "|").alias("event_ids"),
     )
+
+
+def audit(cited: DataFrame, strong: DataFrame, decisions: DataFrame, terms: DataFrame, found: DataFrame, dated: DataFrame, doc: str) -> DataFrame:
+    """(doc, check) of articles that some row cites as a source of an event: agrees, ambiguous_includes_cited, place_not_named_in_lead, place_ok_date_unknown or
+    place_ok_but_dates_or_other_event. ``cited``: (doc, event_id); ``strong``: matches of the lead; ``found``: terms in the lead whatever the date; ``dated``:
+    (doc, when)."""
+    named = found.join(terms.select("term", "event_id").distinct(), "term").join(cited, [doc, "event_id"]).select(doc).distinct().withColumn("named", F.lit(True))
+    overlap = strong.join(cited, [doc, "event_id"]).select(doc).distinct().withColumn("overlap", F.lit(True))
+    j = cited.select(doc).distinct().join(decisions.select(doc, "decision"), doc).join(dated, doc, "left").join(named, doc, "left").join(overlap, doc, "left")
+    check = (
+        F.when((F.col("decision") == "linked") & F.col("overlap"), "agrees")
+        .when((F.col("decision") == "ambiguous") & F.col("overlap"), "ambiguous_includes_cited")
+        .when(F.col("named").isNull(), "place_not_named_in_lead")
+        .when(F.col("when").isNull(), "place_ok_date_unknown")
+        .otherwise("place_ok_but_dates_or_other_event")
+    )
+    return j.select(doc, check.alias("check"))

@@ -41,6 +41,30 @@ def link_tiers(spark: SparkSession, d: str) -> DataFrame:
     return K.decide(docs, strong, weak, "doc_id")
 
 
+def citation_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Does the headline of a read source name the event that a row cites it for?"""
+    inc = table(spark, d, "incidents").dropDuplicates(["incident_id"])
+    cited = inc.select("event_id", F.explode("source_urls").alias("url")).distinct()
+    read = table(spark, d, "fetch_ledger").where("title <> ''").groupBy("url").agg(F.max_by(F.struct("title", "publish_date"), F.struct("fetched_at", "entry_id")).alias("a"))
+    docs = read.join(cited, "url", "left_semi").select("url", F.col("a.title").alias("title"), T.first_day(F.col("a.publish_date")).alias("when"))
+    docs, terms = keep(docs, "sources"), keep(_terms(spark, d), "terms")
+    cited = cited.join(docs.select("url"), "url")
+    strong = K.matches(docs, terms, "url", F.col("title"), "when")
+    decisions = K.decide(docs, strong, strong.limit(0), "url")
+    return K.audit(cited, strong, decisions, terms, K.find_terms(docs, terms, "url", F.col("title")), docs.select("url", "when"), "url")
+
+
+def label_frame(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of the strata of a frame for labelling: sentences of 41 to 399 characters, by domain."""
+    s = _docs(spark, d).where("domain is not null").select("domain", F.explode(T.sentences(F.col("text"))).alias("said")).where(F.length("said").between(41, 399))
+    return s.select("domain", X.stratum(F.col("said")).alias("stratum")).where("stratum is not null").groupBy("domain", "stratum").agg(F.count("*").alias("n"))
+
+
+def dates_in_text(spark: SparkSession, d: str) -> DataFrame:
+    f = _docs(spark, d).select("doc_id", cells.find_dates(F.col("text")).alias("f"))
+    return f.select("doc_id", F.size("f").cast("long").alias("n"), F.coalesce(F.try_element_at("f", F.lit(1)), F.lit("")).alias("first_date"), F.md5(F.array_join("f", "|")).alias("digest"))
+
+
 def interval_link(spark: SparkSession, d: str) -> DataFrame:
     """How many lines of an order were shipped from a day before to 30 days after it."""
     o = table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
@@ -124,6 +148,9 @@ QUERIES = {
     "containment_link": containment_link,
     "link_tiers": link_tiers,
     "interval_link": interval_link,
+    "citation_audit": citation_audit,
+    "label_frame": label_frame,
+    "dates_in_text": dates_in_text,
     "lexicon_indicators": lexicon_indicators,
     "suspected_foods": suspected_foods,
     "certainty_ladder": certainty_ladder,
@@ -153,14 +180,11 @@ _KINDS = f"""{_D}, {_S}, e AS (SELECT doc_id, text, s, generate_subscripts(s, 1)
         CASE WHEN {_SAYS("x", X.RESPONSE["halted"])} THEN 'halted' END, {", ".join(f"CASE WHEN {_SAYS('x', X.MECHANISM[m])} THEN '{m}' END" for m in ("spoilage", "storage", "hygiene"))}], lambda z: z IS NOT NULL)) AS kind FROM e),
     g AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY k) AS r FROM f)"""
 _N = lambda c: f"trim(regexp_replace(strip_accents(lower({c})), '[^a-z0-9]+', ' ', 'g'))"
+_M = "|".join(sorted(cells.MONTHS, key=lambda m: (-len(m), m)))
+_MONTHS = "map {" + ", ".join(f"'{m}': {n}" for m, n in cells.MONTHS.items()) + "}"
 _NUM = r"[0-9]{1,3}(?:\.[0-9]{3})+|[0-9]+"
 
-ORACLES = {
-    "containment_link": f"""WITH n AS (SELECT DISTINCT {_N("regexp_replace(regexp_replace(nama, '^(Kabupaten|Kota) +', ''), '^Administrasi ', '')")} AS term FROM kabkota_codes),
-        t AS (SELECT DISTINCT doc_id, ' ' || {_N("text")} || ' ' AS t FROM documents WHERE text IS NOT NULL)
-        SELECT doc_id, count(*) AS n, md5(string_agg(term, '|' ORDER BY term)) AS digest FROM t JOIN n ON contains(t, ' ' || term || ' ') GROUP BY doc_id""",
-    "link_tiers": f"""
-        WITH i AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY incident_id) AS rn_ FROM incidents) WHERE rn_ = 1),
+_TERMS = f"""WITH i AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY incident_id) AS rn_ FROM incidents) WHERE rn_ = 1),
         ev AS (SELECT event_id, min(date_iso) AS ds, max(date_end_iso) AS de, arg_min_null(kabkota, (table_row, incident_id)) AS place,
                list(DISTINCT trim(venue_raw)) FILTER (trim(venue_raw) <> '' AND NOT regexp_matches(venue_raw, '(?i)tidak\\s+(?:disebutkan|diumumkan)|spesifik')) AS venues FROM i GROUP BY event_id),
         w AS (SELECT *, try_cast(CASE WHEN length(ds) = 7 THEN ds || '-01' ELSE substr(ds, 1, 10) END AS DATE) AS a,
@@ -168,7 +192,14 @@ ORACLES = {
                {_N("regexp_replace(trim(place), '^(?i:kabupaten|kota) +', '')")} AS base FROM ev),
         e AS (SELECT event_id, (a - 1)::DATE AS opens, (greatest(a, b) + 30)::DATE AS closes, venues, base FROM w WHERE a IS NOT NULL AND b IS NOT NULL AND base <> ''),
         terms AS (SELECT DISTINCT event_id, opens, closes, 'place' AS kind, unnest([base, replace(base, ' ', '')]) AS term FROM e
-                  UNION SELECT event_id, opens, closes, 'venue', v FROM (SELECT event_id, opens, closes, {_N("v")} AS v FROM (SELECT event_id, opens, closes, unnest(venues) AS v FROM e)) WHERE length(v) >= 8),
+                  UNION SELECT event_id, opens, closes, 'venue', v FROM (SELECT event_id, opens, closes, {_N("v")} AS v FROM (SELECT event_id, opens, closes, unnest(venues) AS v FROM e)) WHERE length(v) >= 8)"""
+
+ORACLES = {
+    "containment_link": f"""WITH n AS (SELECT DISTINCT {_N("regexp_replace(regexp_replace(nama, '^(Kabupaten|Kota) +', ''), '^Administrasi ', '')")} AS term FROM kabkota_codes),
+        t AS (SELECT DISTINCT doc_id, ' ' || {_N("text")} || ' ' AS t FROM documents WHERE text IS NOT NULL)
+        SELECT doc_id, count(*) AS n, md5(string_agg(term, '|' ORDER BY term)) AS digest FROM t JOIN n ON contains(t, ' ' || term || ' ') GROUP BY doc_id""",
+    "link_tiers": f"""
+        {_TERMS},
         {_D}, a AS (SELECT doc_id, ' ' || {_N("coalesce(title, '') || chr(10) || left(text, 500)")} || ' ' AS lead, ' ' || {_N("text")} || ' ' AS body,
                try_cast(CASE WHEN length(publish_date) = 7 THEN publish_date || '-01' ELSE substr(publish_date, 1, 10) END AS DATE) AS day FROM d),
         sm AS (SELECT doc_id, event_id, max(kind) AS kind FROM a JOIN terms ON day BETWEEN opens AND closes AND contains(lead, ' ' || term || ' ') GROUP BY ALL),
@@ -178,6 +209,24 @@ ORACLES = {
         SELECT a.doc_id, CASE WHEN len(s) = 1 THEN 'linked' WHEN len(s) > 1 THEN 'ambiguous' WHEN len(w) > 0 THEN 'weak' ELSE 'none' END AS decision,
                CASE WHEN len(s) > 0 THEN 'headline_or_lead' WHEN len(w) > 0 THEN 'body_only' ELSE '' END AS tier, coalesce(array_to_string(coalesce(s, w), '|'), '') AS event_ids
         FROM a LEFT JOIN s USING (doc_id) LEFT JOIN x USING (doc_id)""",
+    "citation_audit": f"""{_TERMS},
+        c AS (SELECT DISTINCT event_id, unnest(source_urls) AS url FROM i), l AS (SELECT url, title, publish_date, row_number() OVER (PARTITION BY url ORDER BY fetched_at DESC, entry_id DESC) AS k FROM fetch_ledger WHERE title <> ''),
+        a AS (SELECT url, ' ' || {_N("title")} || ' ' AS t, try_cast(CASE WHEN length(publish_date) = 7 THEN publish_date || '-01' ELSE substr(publish_date, 1, 10) END AS DATE) AS day FROM l WHERE k = 1 AND url IN (SELECT url FROM c)),
+        f AS (SELECT url, event_id, opens, closes, kind, day FROM a JOIN terms ON contains(t, ' ' || term || ' ')),
+        m AS (SELECT url, event_id, max(kind) AS kind FROM f WHERE day BETWEEN opens AND closes GROUP BY ALL), b AS (SELECT url, event_id FROM (SELECT *, max(kind) OVER (PARTITION BY url) AS best FROM m) WHERE kind = best),
+        n AS (SELECT url, count(DISTINCT event_id) AS n FROM b GROUP BY url), o AS (SELECT DISTINCT url FROM b JOIN c USING (url, event_id)), p AS (SELECT DISTINCT url FROM f JOIN c USING (url, event_id))
+        SELECT a.url, CASE WHEN n = 1 AND o.url IS NOT NULL THEN 'agrees' WHEN n > 1 AND o.url IS NOT NULL THEN 'ambiguous_includes_cited' WHEN p.url IS NULL THEN 'place_not_named_in_lead'
+               WHEN day IS NULL THEN 'place_ok_date_unknown' ELSE 'place_ok_but_dates_or_other_event' END AS check FROM a LEFT JOIN n USING (url) LEFT JOIN o USING (url) LEFT JOIN p USING (url)""",
+    "label_frame": f"""WITH {_D}, {_S}, e AS (SELECT domain, unnest(s) AS x FROM c WHERE domain IS NOT NULL), k AS (SELECT domain, CASE WHEN {_FINDS} THEN 'flag_contamination' WHEN {_CLEANS} THEN 'flag_clean' WHEN {_SAYS("x", X.AWAITING)} THEN 'flag_awaiting'
+            WHEN {_SAYS("x", X.STRONG_CUE)} THEN CASE WHEN {_SAYS("x", X.AGENT)} AND {_SAYS("x", X.LAB_WORD)} THEN 'unflagged_high' ELSE 'unflagged_strong' END WHEN {_SAYS("x", X.WEAK_CUE)} THEN 'unflagged_weak' END AS stratum
+            FROM e WHERE length(x) BETWEEN 41 AND 399) SELECT domain, stratum, count(*) AS n FROM k WHERE stratum IS NOT NULL GROUP BY ALL""",
+    "dates_in_text": f"""WITH {_D}, r AS (SELECT doc_id, regexp_extract_all(text, '(?i)\\b(?:[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}|[0-9]{{1,2}}\\s+(?:{_M})\\s+[0-9]{{4}}|(?:{_M})\\s+[0-9]{{4}})\\b') AS f FROM d),
+        e AS (SELECT doc_id, generate_subscripts(f, 1) AS k, unnest(f) AS m FROM r),
+        p AS (SELECT doc_id, k, CASE WHEN contains(m, '/') THEN split_part(m, '/', 1) WHEN regexp_matches(m, '^[0-9]') THEN regexp_extract(m, '^([0-9]+)', 1) END AS d,
+                     CASE WHEN contains(m, '/') THEN split_part(m, '/', 2)::INT ELSE {_MONTHS}[lower(regexp_extract(m, '([A-Za-z]+)', 1))] END AS mo, right(m, 4) AS y FROM e),
+        o AS (SELECT doc_id, k, y || '-' || lpad(mo::VARCHAR, 2, '0') || CASE WHEN d IS NULL THEN '' ELSE '-' || lpad(d, 2, '0') END AS iso FROM p WHERE mo BETWEEN 1 AND 12 AND (d IS NULL OR d::INT BETWEEN 1 AND 31)),
+        g AS (SELECT doc_id, count(*) AS n, string_agg(iso, '|' ORDER BY k) AS s FROM o GROUP BY doc_id)
+        SELECT doc_id, coalesce(n, 0) AS n, coalesce(split_part(s, '|', 1), '') AS first_date, md5(coalesce(s, '')) AS digest FROM d LEFT JOIN g USING (doc_id)""",
     "interval_link": """
         WITH n AS (SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_shipdate::DATE BETWEEN o_orderdate::DATE - 1 AND o_orderdate::DATE + 30 GROUP BY o_orderkey)
         SELECT CASE WHEN n = 1 THEN 'linked' WHEN n > 1 THEN 'ambiguous' ELSE 'none' END AS decision, count(*) AS orders FROM n GROUP BY 1""",

@@ -69,3 +69,17 @@ def cut_feed(items: DataFrame, topic: str, since: str | None = None, least: int
     old = F.min(F.when(F.col("newest") < F.lit(since), F.col("page"))).alias("old") if since else F.lit(None).cast("long").alias("old")
     stop = pages.groupBy("outlet").agg(off, old)
     return items.join(stop, "outlet").where((F.col("off").isNull() | (F.col("page") < F.col("off"))) & (F.col("old").isNull() | (F.col("page") <= F.col("old")))).drop("off", "old")
+
+
+def html_tables(pages: DataFrame, page: str, html: str = "html") -> DataFrame:
+    """(page, row, cells, links) of every row of every table of a page that has a cell; markup of tables in tables is not taken apart."""
+    rows = pages.select(page, F.posexplode(F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("row", "r"))
+    cells = F.transform(F.regexp_extract_all("r", F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), lambda c: strip_tags(F.regexp_replace(c, "<", " <")))
+    out = rows.select(page, "row", cells.alias("cells"), F.regexp_extract_all("r", F.lit('href="([^"]+)"'), F.lit(1)).alias("links"))
+    return out.where(F.size("cells") > 0)
+
+
+def register(pages: DataFrame, page: str, parent: str, html: str = "html") -> DataFrame:
+    """(page, parent, name, link) of the numbered rows of landed register pages: a number, then a name with a link to the next level."""
+    listed = html_tables(pages, page, html).where(F.try_element_at("cells", F.lit(1)).rlike("^[0-9]+$") & (F.size("cells") > 1) & (F.size("links") > 0))
+    return listed.join(pages.select(page, parent), page).select(page, parent, F.col("cells")[1].alias("name"), F.col("links")[0].alias("link"), "cells")
