@@ -69,7 +69,8 @@ def quota_sample(rows: DataFrame, stratum: str, key: str, group: str, quota: dic
     order = F.md5(F.concat(F.lit(salt), F.col(key).cast("string")))
     w = rows.where(F.col(stratum).isin(list(quota))).withColumn("__o", order)
     w = w.withColumn("__g", F.row_number().over(Window.partitionBy(stratum, group).orderBy("__o", key))).where(F.col("__g") <= per_group)
-    w = w.withColumn("__s", F.row_number().over(Window.partitionBy(stratum).orderBy("__o", key)))
+    # The largest quota is a constant, by which Spark cuts a stratum before it meets in one task.
+    w = w.withColumn("__s", F.row_number().over(Window.partitionBy(stratum).orderBy("__o", key))).where(F.col("__s") <= max(quota.values(), default=0))
     limit = F.try_element_at(F.create_map(*[F.lit(x) for kv in quota.items() for x in kv]), F.col(stratum))
     return w.where(F.col("__s") <= limit).drop("__o", "__g", "__s")
 

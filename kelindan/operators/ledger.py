@@ -13,31 +13,58 @@ def last_wins(log: DataFrame, key: str, order: list[str]) -> DataFrame:
     return last.select(key, "last.*").select(*log.columns)
 
 
-def interleave(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """Adds ``turn``, the position in a round robin over groups: first the first row of each group, in the order in which groups begin. The order
-    within a group is a window; turns are ranked by what they are (round, first of group), so that no global sort of rows in one task is needed."""
-    w = Window.partitionBy(group).orderBy(*order)
-    return rows.withColumn("round", F.row_number().over(w)).withColumn("group_first", F.first(order[0]).over(w))
+def _blocks(rows: DataFrame, key: str, block: Column) -> DataFrame:
+    return rows.where(F.col(key).isNotNull()).withColumn("__block", F.coalesce(block.cast("string"), F.lit("")))
 
 
-def failure_runs(log: DataFrame, key: str, order: list[str], failed: Column, least: int) -> DataFrame:
+def _before(blocks: DataFrame, key: str, value: str, how: str) -> DataFrame:
+    """What the earlier blocks of a key come to, for each of its blocks: their ``sum``, or the ``last`` value that is not null."""
+    w = Window.partitionBy(key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.select(key, "__block", (F.coalesce(F.sum(value).over(w), F.lit(0)) if how == "sum" else F.last(value, ignorenulls=True).over(w)).alias("__before"))
+
+
+# The operators below go through the rows of a key in order. A key may hold a third of all rows, so its rows are cut into blocks along that order (``block``
+# must not decrease in it): windows run within (key, block), and blocks, of which there are few, are stitched by a window over one row each.
+
+
+def interleave(rows: DataFrame, group: str, order: list[str], block: Column) -> DataFrame:
+    """Adds ``round`` and ``group_first``, the position in a round robin over groups: first the first row of each group, in the order in which groups begin. What
+    sorts turns is two columns, so no global sort in one task is needed."""
+    b = _blocks(rows, group, block)
+    per = b.groupBy(group, "__block").agg(F.count("*").alias("__n"))
+    first = rows.groupBy(group).agg(F.min(F.struct(*order)).alias("__f"))
+    inner = b.withColumn("__k", F.row_number().over(Window.partitionBy(group, "__block").orderBy(*order)))
+    out = inner.join(_before(per, group, "__n", "sum"), [group, "__block"]).join(first, group)
+    return out.withColumn("round", F.col("__k") + F.col("__before")).withColumn("group_first", F.col(f"__f.{order[0]}")).drop("__block", "__k", "__before", "__f")
+
+
+def failure_runs(log: DataFrame, key: str, order: list[str], failed: Column, least: int, block: Column) -> DataFrame:
     """(key, run, length) of every island of at least ``least`` consecutive failures per key: rows are numbered by the successes before them."""
-    w = Window.partitionBy(key).orderBy(*order)
-    marked = log.withColumn("__f", failed).withColumn("run", F.sum(F.when(F.col("__f"), 0).otherwise(1)).over(w))
-    return marked.where("__f").groupBy(key, "run").agg(F.count("*").alias("length")).where(F.col("length") >= least)
+    b = _blocks(log, key, block).withColumn("__f", failed)
+    per = b.groupBy(key, "__block").agg(F.count_if(~F.col("__f")).alias("__n"))
+    inner = b.withColumn("__k", F.sum(F.when(F.col("__f"), 0).otherwise(1)).over(Window.partitionBy(key, "__block").orderBy(*order)))
+    marked = inner.where("__f").join(_before(per, key, "__n", "sum"), [key, "__block"]).withColumn("run", F.col("__k") + F.col("__before"))
+    return marked.groupBy(key, "run").agg(F.count("*").alias("length")).where(F.col("length") >= least)
 
 
-def gaps(log: DataFrame, key: str, time: Column, order: list[str], least_s: float) -> DataFrame:
+def gaps(log: DataFrame, key: str, time: Column, order: list[str], least_s: float, block: Column) -> DataFrame:
     """Adds gap_s (null on the first row of a key) and wait_s, what a minimum gap of ``least_s`` would have added."""
-    w = Window.partitionBy(key).orderBy(*order)
-    seconds = F.unix_micros(time.cast("timestamp")) / 1e6
-    return log.withColumn("gap_s", seconds - F.lag(seconds).over(w)).withColumn("wait_s", F.coalesce(F.greatest(F.lit(0.0), least_s - F.col("gap_s")), F.lit(0.0)))
-
-
-def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, value: str) -> DataFrame:
-    """Adds the last ``value`` of ``right`` at or before ``left_time`` per key. Both sides are one sorted stream per key and the last value is carried
-    down, so there is no range join; a hot key costs one sort of its rows."""
-    a = left.select(F.struct(*left.columns).alias("row"), F.col(key).alias("__k"), F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(right.schema[value].dataType).alias("__v"))
-    b = right.select(F.lit(None).cast(a.schema["row"].dataType).alias("row"), F.col(key).alias("__k"), F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.col(value).alias("__v"))
-    w = Window.partitionBy("__k").orderBy("__t", "__side", "__v").rowsBetween(Window.unboundedPreceding, 0)
-    return a.unionByName(b).withColumn("__last", F.last("__v", ignorenulls=True).over(w)).where("__side = 1").select("row.*", F.col("__last").alias(value))
+    b = _blocks(log, key, block).withColumn("__t", F.unix_micros(time.cast("timestamp")) / 1e6)
+    per = b.groupBy(key, "__block").agg(F.max("__t").alias("__n"))
+    inner = b.withColumn("__k", F.lag("__t").over(Window.partitionBy(key, "__block").orderBy(*order)))
+    out = inner.join(_before(per, key, "__n", "last"), [key, "__block"]).withColumn("gap_s", F.col("__t") - F.coalesce("__k", "__before"))
+    return out.withColumn("wait_s", F.coalesce(F.greatest(F.lit(0.0), least_s - F.col("gap_s")), F.lit(0.0))).drop("__block", "__t", "__k", "__before")
+
+
+def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, value: str, block) -> DataFrame:
+    """Adds the last ``value`` of ``right`` at or before ``left_time`` per key. Both sides are one stream per key in which the last value is carried down, so there is
+    no range join. ``block``: a function from a column of times to blocks."""
+    a = left.select(F.struct(*left.columns).alias("row"), F.col(key).alias("__key"), F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(right.schema[value].dataType).alias("__v"))
+    b = right.select(F.lit(None).cast(a.schema["row"].dataType).alias("row"), F.col(key).alias("__key"), F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.col(value).alias("__v"))
+    both = _blocks(a.unionByName(b), "__key", block(F.col("__t")))
+    order = ["__t", "__side", "__v"]
+    per = both.groupBy("__key", "__block").agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.struct(*order))).alias("__n"))
+    w = Window.partitionBy("__key", "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inner = both.withColumn("__k", F.last("__v", ignorenulls=True).over(w)).where("__side = 1")
+    found = inner.join(_before(per, "__key", "__n", "last"), ["__key", "__block"], "left")
+    return found.select("row.*", F.coalesce("__k", "__before").alias(value))

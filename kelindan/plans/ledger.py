@@ -67,16 +67,16 @@ def unique_urls(spark: SparkSession, d: str) -> DataFrame:
 
 def round_robin(spark: SparkSession, d: str) -> DataFrame:
     seen = table(spark, d, "citations").where("url like 'http%'").groupBy("url").agg(F.min("citation_id").alias("seq")).withColumn("host", U.domain_of(F.col("url")))
-    return L.interleave(seen, "host", ["seq", "url"]).select("url", F.col("round").cast("long").alias("round"), F.col("group_first").alias("host_first"))
+    return L.interleave(seen, "host", ["seq", "url"], F.format_string("%012d", F.floor(F.col("seq") / 100_000))).select("url", F.col("round").cast("long").alias("round"), F.col("group_first").alias("host_first"))
 
 
 def failure_runs(spark: SparkSession, d: str) -> DataFrame:
-    runs = L.failure_runs(_ledger(spark, d).where(F.col("domain").isNotNull()), "domain", ["fetched_at", "entry_id"], F.col("status") != "ok", 3)
+    runs = L.failure_runs(_ledger(spark, d).where(F.col("domain").isNotNull()), "domain", ["fetched_at", "entry_id"], F.col("status") != "ok", 3, F.substring("fetched_at", 1, 10))
     return runs.groupBy("domain").agg(F.count("*").alias("runs"), F.max("length").alias("longest"))
 
 
 def throttle_gaps(spark: SparkSession, d: str) -> DataFrame:
-    g = L.gaps(table(spark, d, "events"), "user_id", F.col("ts"), ["ts", "event_id"], 60.0)
+    g = L.gaps(table(spark, d, "events"), "user_id", F.col("ts"), ["ts", "event_id"], 60.0, F.to_date("ts"))
     return g.groupBy("user_id").agg(F.round(F.sum("wait_s"), 3).alias("wait_s"), F.round(F.min("gap_s"), 3).alias("least_gap_s"))
 
 
@@ -85,7 +85,7 @@ def nearest_before(spark: SparkSession, d: str) -> DataFrame:
     log = _ledger(spark, d).select("entry_id", "url", "via", "fetched_at")
     left = log.where("via = 'wayback'").select("entry_id", "url", "fetched_at")
     right = log.where("via = 'origin'").select("url", "fetched_at", F.col("entry_id").alias("origin_entry"))
-    return L.as_of(left, right, "url", "fetched_at", "fetched_at", "origin_entry").select("entry_id", "origin_entry")
+    return L.as_of(left, right, "url", "fetched_at", "fetched_at", "origin_entry", lambda t: F.substring(t, 1, 10)).select("entry_id", "origin_entry")
 
 
 def nearest_snapshot(spark: SparkSession, d: str) -> DataFrame:

@@ -39,7 +39,7 @@ def test_subjects_and_flags(spark):
     [
         ("23 April 2025", ("2025-04-23", "2025-04-23", "day")), ("7 s/d 9 Mei 2025", ("2025-05-07", "2025-05-09", "day")), ("30 April s/d 2 Mei 2025", ("2025-04-30", "2025-05-02", "day")),
         ("Awal Februari 2026", ("2026-02", "2026-02", "month")), ("Senin (22/9/2025)", ("2025-09-22", "2025-09-22", "day")), ("Tidak Disebutkan", None), ("31/2/2025", ("2025-02-31", "2025-02-31", "day")),
-        ("40 Mei 2025", None), (None, None),
+        ("40 Mei 2025", ("2025-05", "2025-05", "month")), (None, None),
     ],
 )
 def test_dates(spark, raw, want):
@@ -102,3 +102,16 @@ def test_tiers(spark):
     assert got == {"SDN 1 Melati": ("matched", "name", "1"), "SDN 1 Melur": ("matched", "address", "2"), "SD 2 Kenanga": ("ambiguous", "name", "4|5"), "Dapur": ("none", "", "")}
     near = spark.createDataFrame([("SDN 1 Melatti",)], "venue string")
     assert [r.ids for r in M.spelling_tier(near, reg, "venue", "venue", "id", "school").collect()] == ["1"]
+
+
+def test_all_dates(spark):
+    assert one(spark, cells.find_dates, "Pada 16 Juli 2013 dan 3/4/2026, lalu bulan Mei 2025, bukan 40 Mei 2025 atau 3/13/2025", "") == [["2013-07-16", "2026-04-03", "2025-05", "2025-05"], []]
+
+
+def test_labels(spark):
+    from kelindan.operators.evaluation import label_problems, repeat_agreement
+
+    df = spark.createDataFrame([(1, " yes ", None), (2, None, 1), (3, "MAYBE", 1), (4, "YES", 1)], "id int, about string, rep int")
+    assert sorted((r.id, r.problem) for r in label_problems(df, "id", {"about": ["YES", "NO"]}).collect()) == [(2, "missing"), (3, "invalid")]
+    r = repeat_agreement(df.withColumn("l", F.upper(F.trim("about"))), "id", "rep", "l").collect()[0]
+    assert (r.n, r.same) == (3, 1)

@@ -3,6 +3,8 @@ from __future__ import annotations
 import itertools
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -14,18 +16,21 @@ from kelindan.operators import ledger as L
 from kelindan.operators import linking as K
 
 
-def test_ledger(spark):
+@pytest.mark.parametrize("size", [1, 2, 100])
+def test_ledger(spark, size):
+    block = F.format_string("%03d", F.floor(F.col("t") / size))
     log = spark.createDataFrame([("a", 1, "e"), ("a", 2, "e"), ("a", 3, "e"), ("a", 4, "ok"), ("a", 5, "e"), ("b", 1, "ok"), (None, 9, "e")], "h string, t int, s string")
     assert rows(L.last_wins(log, "h", ["t"])) == [("a", 5, "e"), ("b", 1, "ok")]
-    assert rows(L.failure_runs(log.where("h is not null"), "h", ["t"], F.col("s") != "ok", 3), "h", "length") == [("a", 3)]
-    got = L.interleave(log.where("h is not null"), "h", ["t", "s"]).orderBy("round", "group_first", "h").select("h", "t").collect()
+    assert rows(L.failure_runs(log.where("h is not null"), "h", ["t"], F.col("s") != "ok", 3, block), "h", "length") == [("a", 3)]
+    got = L.interleave(log, "h", ["t", "s"], block).orderBy("round", "group_first", "h").select("h", "t").collect()
     assert [r.h for r in got][:3] == ["a", "b", "a"]
 
 
-def test_as_of(spark):
+@pytest.mark.parametrize("size", [1, 3, 100])
+def test_as_of(spark, size):
     a = spark.createDataFrame([(1, "u", 5), (2, "u", 1), (3, "v", 9)], "id int, k string, t int")
     b = spark.createDataFrame([("u", 2, "x"), ("u", 5, "y"), ("w", 1, "z")], "k string, t int, val string")
-    assert rows(L.as_of(a, b, "k", "t", "t", "val"), "id", "val") == [(1, "y"), (2, None), (3, None)]
+    assert rows(L.as_of(a, b, "k", "t", "t", "val", lambda t: F.format_string("%03d", F.floor(t / size))), "id", "val") == [(1, "y"), (2, None), (3, None)]
 
 
 def test_similar_pairs_are_complete(spark):

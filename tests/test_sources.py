@@ -119,3 +119,10 @@ def test_files(spark, tmp_path):
     (tmp_path / "d.sql").write_text("INSERT INTO w VALUES ('11','Aceh',4.1,96.2),('11.01','Kabupaten O''X',NULL,2.5),('11.01.01','Z',1,2);")
     assert rows(files.read_region_dump(spark, str(tmp_path / "d.sql"))) == [("11.01", "11", "Aceh", "Kabupaten O'X", None, 2.5)]
     assert schemas.LEDGER["ref_ids"].dataType == PT.ArrayType(PT.StringType())
+
+
+def test_tables_of_pages(spark):
+    html = '<table><tr><th>No</th><th>Nama</th></tr><tr><td>1</td><td><a href="/w/11">Kab. <b>A</b></a></td></tr><tr><td>2</td><td>B</td></tr></table><tr></tr>'
+    df = spark.createDataFrame([("p", "atas", html), ("q", "atas", None)], "page string, parent string, html string")
+    assert [r.cells for r in listings.html_tables(df, "page").orderBy("row").collect()] == [["No", "Nama"], ["1", "Kab. A"], ["2", "B"]]
+    assert rows(listings.register(df, "page", "parent"), "parent", "name", "link") == [("atas", "Kab. A", "/w/11")]
