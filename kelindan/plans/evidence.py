@@ -222,7 +222,7 @@ ORACLES = {
             FROM e WHERE length(x) BETWEEN 41 AND 399) SELECT domain, stratum, count(*) AS n FROM k WHERE stratum IS NOT NULL GROUP BY ALL""",
     "dates_in_text": f"""WITH {_D}, r AS (SELECT doc_id, regexp_extract_all(text, '(?i)\\b(?:[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}|[0-9]{{1,2}}\\s+(?:{_M})\\s+[0-9]{{4}}|(?:{_M})\\s+[0-9]{{4}})\\b') AS f FROM d),
         e AS (SELECT doc_id, generate_subscripts(f, 1) AS k, unnest(f) AS m FROM r),
-        p AS (SELECT doc_id, k, CASE WHEN contains(m, '/') THEN split_part(m, '/', 1) WHEN regexp_matches(m, '^(?:0?[1-9]|[12][0-9]|3[01])\\\\s') THEN regexp_extract(m, '^([0-9]+)', 1) END AS d,
+        p AS (SELECT doc_id, k, CASE WHEN contains(m, '/') THEN split_part(m, '/', 1) WHEN regexp_matches(m, '^(?:0?[1-9]|[12][0-9]|3[01])[^0-9]') THEN regexp_extract(m, '^([0-9]+)', 1) END AS d,
                      CASE WHEN contains(m, '/') THEN split_part(m, '/', 2)::INT ELSE {_MONTHS}[lower(regexp_extract(m, '([A-Za-z]+)', 1))] END AS mo, right(m, 4) AS y FROM e),
         o AS (SELECT doc_id, k, y || '-' || lpad(mo::VARCHAR, 2, '0') || CASE WHEN d IS NULL THEN '' ELSE '-' || lpad(d, 2, '0') END AS iso FROM p WHERE mo BETWEEN 1 AND 12 AND (d IS NULL OR d::INT BETWEEN 1 AND 31)),
         g AS (SELECT doc_id, count(*) AS n, string_agg(iso, '|' ORDER BY k) AS s FROM o GROUP BY doc_id)
