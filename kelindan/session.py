@@ -47,10 +47,21 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared folder, which goes when the application ends."""
+    path = f"{shared_dir(spark)}/kelindan-{label}-{uuid.uuid4().hex}"
+    if jvm := getattr(spark, "_jvm", None):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+    return path
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Cuts lineage: writes ``df`` to the shared folder and reads it back, so that a lost executor costs no recomputation
     of what came before and a table that is used twice is computed once."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kelindan-{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label) + "/table"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

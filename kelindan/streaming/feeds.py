@@ -11,14 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from kelindan.session import shared_dir
+from kelindan.session import scratch
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there, into a table of the shared folder, and reads that table. Sink and checkpoint make a restart go on where it stopped."""
-    import uuid
-
-    base = f"{shared_dir(stream.sparkSession)}/stream-{name}-{uuid.uuid4().hex}"
+    base = scratch(stream.sparkSession, f"stream-{name}")
     q = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").option("path", f"{base}/table").trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/table")
