@@ -84,7 +84,7 @@ def encode_texts(
     """(doc, ids array<int>) of every row, without special tokens; an empty and a null text both give an empty list.
 
     Strings of special tokens are ordinary text. Texts longer than ``leaf`` characters are cut and joined, others encoded at once: the ids are the
-    same. A repeated row gives repeated rows; further columns are ignored; null ids stay, as rows are told apart by a row number.
+    same. A repeated row gives repeated rows; further columns are ignored; null ids stay.
     """
     rows = docs.select(F.col(doc).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     kind = docs.schema[doc].dataType.simpleString()
@@ -106,14 +106,18 @@ def encode_texts(
     def merge(table: pa.Table) -> pa.Table:
         enc = encoder(name, path)
         table = table.sort_by("k")
-        whole = join_all([Piece(t, np.asarray(i, dtype=np.int32)) for t, i in zip(table["t"].to_pylist(), table["ids"].to_pylist())], enc)
-        return pa.table({"d": table["d"].slice(0, 1), "ids": _lists([whole.ids])})
+        k = np.asarray(table["k"])
+        copies = int((k == 0).sum())
+        one = table.take(pa.array(np.arange(0, len(k), copies)))
+        whole = join_all([Piece(t, np.asarray(i, dtype=np.int32)) for t, i in zip(one["t"].to_pylist(), one["ids"].to_pylist())], enc)
+        return pa.table({"d": table["d"].slice(0, copies), "ids": _lists([whole.ids] * copies)})
 
     few = rows.where(F.length("t") <= leaf).mapInArrow(short, f"d {kind}, ids array<int>")
-    # Only long texts move: each is cut in the JVM, its leaves spread over all tasks, and one text's leaves, a single row's worth, meet again.
-    long = rows.where(F.length("t") > leaf).withColumn("u", F.monotonically_increasing_id())
+    # Only long texts move: each is cut in the JVM, its leaves spread over all tasks, and one text's leaves, a single row's worth (and its copies'), meet
+    # again by id and hash of the text, which stay the same when a lost task runs again.
+    long = rows.where(F.length("t") > leaf).withColumn("u", F.xxhash64("t"))
     cuts = F.expr(f"transform(sequence(0, cast((length(t) - 1) div {leaf} as int)), k -> struct(k, substring(t, k * {leaf} + 1, {leaf}) as t))")
     cut = long.select("d", "u", F.inline(cuts)).select("d", "u", F.col("k").cast("int").alias("k"), "t")
     schema = f"d {kind}, u long, k int, t string, ids array<int>"
-    joined = cut.repartition(F.col("u"), F.col("k")).mapInArrow(leaves, schema).groupBy("u").applyInArrow(merge, f"d {kind}, ids array<int>")
+    joined = cut.repartition("d", "u", "k").mapInArrow(leaves, schema).groupBy("d", "u").applyInArrow(merge, f"d {kind}, ids array<int>")
     return few.unionByName(joined).select(F.col("d").alias(doc), "ids")

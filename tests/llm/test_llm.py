@@ -209,10 +209,10 @@ def test_join_of_encodings(text, cut, window):
 
 def test_token_ids(spark):
     texts = ["", None, "Halo <|endoftext|> dunia", "kata " * 700, "x" * 3000, "a\n\n b" * 500, "é😀" * 400, " " * 2500]
-    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(0, "", "x")], "doc_id long, text string, ids string")
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(0, "", "x"), (3, texts[3], "x")], "doc_id long, text string, ids string")
     enc = tokens.encoder()
     got = sorted((r.doc_id, list(r.ids)) for r in tokens.encode_texts(df, leaf=200).collect())
-    assert got == sorted([(i, enc.encode_ordinary(t or "")) for i, t in enumerate(texts)] + [(0, [])])
+    assert got == sorted([(i, enc.encode_ordinary(t or "")) for i, t in enumerate(texts)] + [(0, []), (3, enc.encode_ordinary(texts[3]))])
     assert all(enc.decode(ids) == (texts[i] or "") for i, ids in got)
     assert tokens.encode_texts(df.limit(0)).count() == 0
 
