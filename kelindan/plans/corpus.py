@@ -121,7 +121,7 @@ _NORM = r"trim(regexp_replace(strip_accents(lower(text)), '[^\p{L}\p{N}_]+', ' '
 _SH = rf"""w AS (SELECT DISTINCT doc_id, string_split({_NORM}, ' ') AS w FROM documents WHERE text IS NOT NULL AND {_NORM} <> ''),
     g AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM w), s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS s FROM g),
     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id)"""
-_PAIRS = f"""{_SH}, p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+PAIRS_SQL = f"""{_SH}, p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
     j AS (SELECT a, b, shared, shared / (na.n + nb.n - shared) AS jaccard FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE shared / (na.n + nb.n - shared) >= 0.7)"""
 _SENT = r"""m AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\b([A-Z])\.', '\1' || chr(1), 'g'), '([.!?])\s+', '\1' || chr(2), 'g') AS t FROM documents WHERE text IS NOT NULL),
     c AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(t, chr(2) || '|\n+'), lambda x: replace(x, chr(1), '.')), lambda x: trim(x) <> '') AS s FROM m)"""
@@ -130,8 +130,8 @@ ORACLES = {
     "exact_dup_groups": f"""WITH h AS (SELECT DISTINCT doc_id, {_NORM} AS t FROM documents WHERE text IS NOT NULL)
         SELECT doc_id, count(*) OVER (PARTITION BY t) AS group_size, min(doc_id) OVER (PARTITION BY t) AS group_id FROM h""",
     "shingle_df": f"WITH {_SH}, f AS (SELECT s, count(*) AS df FROM s GROUP BY s) SELECT df, count(*) AS shingles FROM f GROUP BY df",
-    "near_dup_pairs": f"WITH {_PAIRS} SELECT a, b, shared, round(jaccard, 6) AS jaccard FROM j",
-    "dup_clusters": f"""WITH RECURSIVE {_PAIRS}, u AS (SELECT a, b FROM j UNION SELECT b, a FROM j), r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.doc_id)
+    "near_dup_pairs": f"WITH {PAIRS_SQL} SELECT a, b, shared, round(jaccard, 6) AS jaccard FROM j",
+    "dup_clusters": f"""WITH RECURSIVE {PAIRS_SQL}, u AS (SELECT a, b FROM j UNION SELECT b, a FROM j), r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.doc_id)
         SELECT doc_id, min(root) AS cluster_id FROM r GROUP BY doc_id""",
     "canonical_docs": f"""WITH h AS (SELECT doc_id, {_NORM} AS t, coalesce(nullif(publish_date, ''), '9999') AS o, length(text) AS n FROM documents WHERE text IS NOT NULL),
         k AS (SELECT doc_id, min(doc_id) OVER w AS cluster_id, count(*) OVER w AS cluster_size, first_value(doc_id) OVER (PARTITION BY t ORDER BY o, n DESC, doc_id) AS first_id FROM h WINDOW w AS (PARTITION BY t))
