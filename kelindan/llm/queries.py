@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelindan.llm import boilerplate, components, houselines, neardup, packing, refmatch, spans, survivors, tokens
+from kelindan.plans.corpus import PAIRS_SQL
 from kelindan.session import spread, table
 
 
@@ -107,4 +108,13 @@ ORACLES = {
         k AS (SELECT domain, line FROM l WHERE line <> '' GROUP BY domain, line HAVING count(DISTINCT doc_id) >= 5)
         SELECT DISTINCT doc_id, line_no FROM l JOIN k USING (domain, line)
     """,
+    "p5_found": f"WITH {PAIRS_SQL} SELECT a AS doc_a, b AS doc_b FROM j",
+    "p10_found": r"""
+        WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n' || chr(160) || ']+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+        s AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS k FROM w WHERE len(w) >= 50), h AS (SELECT doc_id, k - 1 AS p, md5(array_to_string(w[k:k + 49], ' ')) AS h FROM s),
+        c AS (SELECT h FROM h GROUP BY h HAVING count(DISTINCT doc_id) > 1), f AS (SELECT DISTINCT doc_id, p FROM h JOIN c USING (h)),
+        n AS (SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS new FROM f),
+        r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM n)
+        SELECT doc_id, min(p) AS start_word, max(p) + 50 AS end_word FROM r GROUP BY doc_id, run
+    """,
 }
