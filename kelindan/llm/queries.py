@@ -109,6 +109,22 @@ ORACLES = {
         SELECT DISTINCT doc_id, line_no FROM l JOIN k USING (domain, line)
     """,
     "p5_found": f"WITH {PAIRS_SQL} SELECT a AS doc_a, b AS doc_b FROM j",
+    "p6_found": r"""
+        WITH RECURSIVE i AS (SELECT DISTINCT incident_id, kabkota, province FROM incidents WHERE regexp_matches(kabkota, '[^\s\x{00a0}]')),
+        pr AS (SELECT string_agg(DISTINCT strip_accents(lower(provinsi)), '|') AS p FROM kabkota_codes),
+        t0 AS (SELECT incident_id, province, trim(regexp_replace(strip_accents(lower(kabkota)), '[\s\x{00a0}]+', ' ', 'g')) AS t FROM i),
+        t1 AS (SELECT incident_id, province, regexp_replace(t, '(?:,|\(| - )\s*(?:(?:provinsi|prov)\.? )?(?:' || p || ')\s*\)?$', '') AS t FROM t0, pr),
+        t2 AS (SELECT *, CASE regexp_extract(t, '\b(kabupaten|kab|kotamadya|kodya|kota|kt)\b', 1) WHEN '' THEN '' WHEN 'kabupaten' THEN 'kabupaten' WHEN 'kab' THEN 'kabupaten' ELSE 'kota' END AS kind,
+                      trim(regexp_replace(regexp_replace(t, '\b(?:kabupaten|kab|kotamadya|kodya|kota|kt)\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS n FROM t1),
+        t3 AS (SELECT incident_id, province, kind, replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(n,
+                 '^kep ', 'kepulauan '), ' (?:ut|utr)$', ' utara'), ' (?:sel|slt)$', ' selatan'), ' (?:tim|tmr)$', ' timur'), ' (?:bar|brt)$', ' barat'), ' (?:teng|tgh|tng)$', ' tengah'), '^$', ''), ' ', '') AS n FROM t2),
+        e0 AS (SELECT kode, provinsi, lower(split_part(nama, ' ', 1)) AS kind, substr(nama, length(split_part(nama, ' ', 1)) + 2) AS n FROM kabkota_codes
+               UNION ALL SELECT kode, provinsi, lower(split_part(nama, ' ', 1)), unnest(string_split(nama_lain, ';')) FROM kabkota_codes WHERE nama_lain <> ''),
+        e AS (SELECT kode, provinsi, kind, regexp_replace(strip_accents(lower(n)), '[^a-z0-9]', '', 'g') AS n FROM e0),
+        m AS (SELECT incident_id, kode, row_number() OVER (PARTITION BY incident_id ORDER BY levenshtein(t3.n, e.n), coalesce(t3.province, '') <> e.provinsi, kode) AS k
+              FROM t3 JOIN e ON (t3.kind = '' OR t3.kind = e.kind) AND t3.n <> '' AND levenshtein(t3.n, e.n) <= 2)
+        SELECT i.incident_id, coalesce(m.kode, 'none') AS kabkota_kode FROM i LEFT JOIN m ON m.incident_id = i.incident_id AND m.k = 1
+    """,
     "p10_found": r"""
         WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n' || chr(160) || ']+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
         s AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS k FROM w WHERE len(w) >= 50), h AS (SELECT doc_id, k - 1 AS p, md5(array_to_string(w[k:k + 49], ' ')) AS h FROM s),
