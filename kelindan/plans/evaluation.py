@@ -101,8 +101,8 @@ def venue_matches(spark: SparkSession, d: str) -> DataFrame:
     """Venues of incidents against the register of venues that other rows name in full."""
     inc = table(spark, d, "incidents").where("venue_raw <> ''").select("venue_raw", "province").distinct()
     register = inc.groupBy(F.col("venue_raw").alias("school")).agg(F.min("province").alias("address"))
-    names = register.select(F.col("school").alias("venue"), F.regexp_replace("school", r"^(\S+) (.*) (\S+)$", "$1 $2 $3").alias("name"))
-    return M.tiered(names, register.withColumn("id", F.col("school")), "venue", "name", "id", "school", "address")
+    names = register.select(F.col("school").alias("venue"))
+    return M.tiered(names, register.withColumn("id", F.col("school")), "venue", "venue", "id", "school", "address")
 
 
 def part_tiers(spark: SparkSession, d: str) -> DataFrame:
@@ -179,6 +179,17 @@ ORACLES = {
     "every_kth": f"WITH {_C}, k AS (SELECT doc_id, domain, row_number() OVER (PARTITION BY domain ORDER BY doc_id) AS k FROM c WHERE ill AND domain IS NOT NULL) SELECT doc_id, domain FROM k WHERE k % 10 = 0",
     "share_unpivot": f"WITH {_C} " + " UNION ALL ".join(f"SELECT '{k}' AS name, count(*) FILTER ({k}) AS n, round(count(*) FILTER ({k}) / count(*), 6) AS share FROM c" for k in _FLAGS),
     "top_domains": f"WITH {_C} SELECT domain, count(*) AS n FROM c GROUP BY domain ORDER BY n DESC, domain NULLS LAST LIMIT 12",
+    "venue_matches": rf"""WITH r AS (SELECT venue_raw AS v, min(province) AS a FROM incidents WHERE venue_raw <> '' GROUP BY 1),
+        t AS (SELECT v, a, list_filter(string_split(regexp_replace(regexp_replace(lower(v), '[^a-z0-9 ]+', ' ', 'g'), '\b(sd|smp|sma|smk|mi|mts|ma) (?:negeri|n)\b', '\1n', 'g'), ' '), lambda x: x <> '') AS t FROM r),
+        k AS (SELECT *, regexp_extract(t[1], '^({"|".join(sorted(M.KINDS, key=lambda k: (-len(k), k)))})[ns]?$', 1) AS kind FROM t),
+        n AS (SELECT v, kind, substr(t[1], length(kind) + 1, 1) AS st, array_to_string(list_sort(list_distinct(list_transform(list_filter(t[2:], lambda x: regexp_matches(x, '^[0-9]+$')), lambda x: regexp_replace(x, '^0+(.)', '\1')))), ',') AS nums,
+                     list_distinct(list_filter(t[2:], lambda x: NOT regexp_matches(x, '^[0-9]+$') AND NOT list_contains([{", ".join(f"'{f}'" for f in M.FILLER)}], x))) AS w,
+                     string_split(regexp_replace(lower(coalesce(a, '')), '[^a-z0-9]+', ' ', 'g'), ' ') AS place FROM k WHERE kind <> ''),
+        h AS (SELECT x.v, y.v AS id, CASE WHEN list_has_all(y.w, x.w) THEN 1 WHEN list_has_all(list_concat(y.w, y.place), x.w) THEN 2 END AS tier
+              FROM n x JOIN n y ON x.kind = y.kind AND x.nums = y.nums AND (x.st = '' OR x.st = y.st)),
+        b AS (SELECT v, tier, string_agg(id, '|' ORDER BY id) AS ids, count(*) AS c, row_number() OVER (PARTITION BY v ORDER BY tier) AS k FROM h WHERE tier IS NOT NULL GROUP BY v, tier)
+        SELECT r.v AS venue, CASE WHEN c = 1 THEN 'matched' WHEN c > 1 THEN 'ambiguous' ELSE 'none' END AS result, CASE tier WHEN 1 THEN 'name' WHEN 2 THEN 'address' ELSE '' END AS tier, coalesce(ids, '') AS ids
+        FROM r LEFT JOIN b ON b.v = r.v AND b.k = 1""",
     "part_tiers": """WITH p AS (SELECT p_partkey, p_brand, p_size, list_distinct(regexp_split_to_array(lower(p_name), ' +')) AS w FROM part),
         h AS (SELECT x.p_partkey, count(*) AS n, min(y.p_partkey) AS first_match FROM p x JOIN p y ON x.p_brand = y.p_brand AND x.p_size = y.p_size AND x.p_partkey <> y.p_partkey WHERE list_has_all(y.w, x.w) GROUP BY 1)
         SELECT p_partkey, n, first_match, CASE WHEN n = 1 THEN 'matched' ELSE 'ambiguous' END AS result FROM h""",
