@@ -72,7 +72,7 @@ def pack(items: DataFrame, item: str, size: str, capacity: int, items_per_run: i
     for k in range(rounds):
         runs = max(1, -(-n // items_per_run))
         shuffled = units.withColumn("run", F.pmod(F.xxhash64("unit", F.lit(k)), F.lit(runs)).cast("int")).repartition(runs, "run")
-        put = keep(shuffled.sortWithinPartitions("run", "unit").mapInPandas(_runner(k, capacity), "unit string, container string, base long, fill long"), f"round{k}")
+        put = keep(shuffled.mapInPandas(_runner(k, capacity), "unit string, container string, base long, fill long"), f"round{k}")
         moved = placed.withColumnRenamed("container", "unit0").join(put.select(F.col("unit").alias("unit0"), "container", "base"), "unit0", "left")
         placed = keep(moved.select("unit", F.coalesce("container", "unit0").alias("container"), (F.col("offset") + F.coalesce("base", F.lit(0))).alias("offset")), f"placed{k}")
         units = put.where(F.col("fill") < capacity).select(F.col("container").alias("unit"), F.col("fill").alias("size")).distinct()
@@ -89,7 +89,8 @@ def _runner(k: int, capacity: int):
         held = list(batches)
         if not held:
             return
-        for run, pdf in pd.concat(held).groupby("run", sort=True):
+        # The rule takes items as they come; large ones first leave the small ones to fill what is left, which loses about a quarter of the room that a random order does.
+        for run, pdf in pd.concat(held).sort_values(["run", "size", "unit"], ascending=[True, False, True]).groupby("run", sort=True):
             container, offset, fills = sum_of_squares(pdf["size"].to_numpy(), capacity)
             names = np.asarray([f"r{k}-{run}-{c}" for c in range(len(fills))], dtype=object)
             yield pd.DataFrame({"unit": pdf["unit"].to_numpy(), "container": names[container], "base": offset, "fill": fills[container]})
