@@ -56,18 +56,25 @@ def run_minima(a: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(power[: len(a) - w + 1], power[w - have : w - have + len(a) - w + 1])
 
 
-def bounded_filter(keys: DataFrame, key: str, bits: int = 26) -> bytes:
-    """A bitmap of ``2 ** bits`` cells in which those of the given 64-bit keys are set, built by aggregation: whatever the number of keys, what
-    reaches the driver has this size. A key that is not among them may find its cell set; one that is always does."""
-    cell = F.expr(f"shiftrightunsigned({key}, {64 - bits})")
-    parts = keys.select(F.shiftright(cell, 15).alias("bucket"), cell.bitwiseAND(32767).alias("at")).groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
+#: Where the cells of a key are read from its bits.
+_SHIFTS = (0, 13, 29)
+
+
+def bounded_filter(keys: DataFrame, key: str, bits: int) -> bytes:
+    """A Bloom filter of ``2 ** bits`` cells, 30 bits at most, of well mixed 64-bit keys, built by aggregation: whatever the number of keys, what reaches the
+    driver has this size. A key sets four cells; one that is not among them finds its four set with a small chance, one that is always does."""
+    cells = [F.expr(f"shiftrightunsigned({key}, {64 - bits})"), *[F.expr(f"shiftrightunsigned({key}, {s}) & {(1 << bits) - 1}L") for s in _SHIFTS]]
+    cell = keys.select(F.explode(F.array(*cells)).alias("cell"))
+    parts = cell.select(F.shiftright("cell", 15).alias("bucket"), F.col("cell").bitwiseAND(32767).alias("at")).groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
     out = bytearray(1 << (bits - 3))
-    for p in parts:
+    for p in parts.toLocalIterator():
         out[p.bucket * 4096 : p.bucket * 4096 + 4096] = p.bits
     return bytes(out)
 
 
-def in_filter(bitmap: np.ndarray, keys: np.ndarray, bits: int = 26) -> np.ndarray:
-    """Which of the unsigned keys have their cell set in the bitmap, an array of bytes."""
-    cell = (keys >> np.uint64(64 - bits)).astype(np.int64)
-    return (bitmap[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
+def in_filter(bitmap: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    """Which of the unsigned keys the filter, an array of bytes, may hold."""
+    out = np.ones(len(keys), dtype=bool)
+    for cell in (keys >> np.uint64(64 - bits), *((keys >> np.uint64(s)) & np.uint64((1 << bits) - 1) for s in _SHIFTS)):
+        out &= (bitmap[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return out

@@ -43,14 +43,14 @@ def _stretches(mask: np.ndarray, span: int) -> list[tuple[int, int]]:
 
 
 def shared_spans(
-    docs: DataFrame, doc: str = "doc_id", text: str = "text", span: int = 50, phrase: int = 26, bits: int = 26, phrases_per_shard: int = 100_000, stretches_per_task: int = 10_000
+    docs: DataFrame, doc: str = "doc_id", text: str = "text", span: int = 50, phrase: int = 26, bits: int | None = None, phrases_per_shard: int = 100_000, stretches_per_task: int = 10_000
 ) -> DataFrame:
     """(doc, start_word, end_word): the maximal stretches of words, end exclusive, that lie in ``span`` consecutive words which also stand, in a row, in
     another record.
 
     Words are compared as they are. Null ids and texts and texts shorter than ``span`` words give no rows; a run that one record repeats is not shared by
     that; repeated rows of one id are one record; an empty table gives an empty result; further columns are ignored. ``bits`` sizes the filter between the
-    passes: too few let more text into the later ones, and change nothing else.
+    passes, by default 16 to 32 cells a recurring phrase and 64 MB at most: too few let more text into the later passes, and change nothing else.
     """
     kind = docs.schema[doc].dataType.simpleString()
     rows = docs.where(F.col(doc).isNotNull() & F.col(text).isNotNull()).select(F.col(doc).alias("d"), F.col(text).alias("t"))
@@ -65,6 +65,9 @@ def shared_spans(
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), pa.array(np.concatenate(found).view(np.int64))], ["d", "p"])
 
     recurring = rows.mapInArrow(phrases, f"d {kind}, p long").groupBy("p").agg(F.min("d").alias("x"), F.max("d").alias("y")).where("x <> y")
+    recurring = keep(recurring.select("p"), "recurring")
+    if bits is None:
+        bits = max(20, min(29, (16 * recurring.count()).bit_length()))
     bitmap = rows.sparkSession.sparkContext.broadcast(bounded_filter(recurring, "p", bits))
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

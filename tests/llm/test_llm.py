@@ -249,6 +249,15 @@ def test_packing(spark, per_run):
         packing.pack(spark.createDataFrame([(1, -1)], "item int, n int"), "item", "n", 100)
 
 
+def test_filter(spark):
+    rng = np.random.default_rng(2)
+    keys, others = rng.integers(0, 1 << 64, 3000, dtype=np.uint64), rng.integers(0, 1 << 64, 50_000, dtype=np.uint64)
+    df = spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "k long")
+    for bits in (16, 20):
+        cells = np.frombuffer(hashing.bounded_filter(df, "k", bits), dtype=np.uint8)
+        assert hashing.in_filter(cells, keys, bits).all() and hashing.in_filter(cells, others, bits).mean() < {16: 0.01, 20: 0.0005}[bits]
+
+
 # --- shared spans ------------------------------------------------------------------------------------------------------
 
 
