@@ -119,11 +119,12 @@ def fuse_fields(
 
 
 def _independence(judged: DataFrame, accuracy: DataFrame, n: float, copy_rate: float, prior: float) -> DataFrame:
-    """(s, w): the chance that a vote of a source is its own. Uncommon values only: a value that more than 8 sources claim says little
-    about who copied whom, and the pairs of a value stay bounded (28)."""
-    few = judged.groupBy("g", "f", "v").agg(F.min("p").alias("p"), F.collect_set("s").alias("ss"))
-    few = few.where(F.size("ss").between(2, 8)).select("p", F.explode("ss").alias("a"), "ss")
-    pairs = few.select("p", "a", F.explode("ss").alias("b")).where("a < b").groupBy("a", "b").agg(F.sum("p").alias("same_true"), F.sum(1 - F.col("p")).alias("same_false"))
+    """(s, w): the chance that a vote of a source is its own. Every value that two sources or more claim counts; values of the same sources are one set with
+    its sums before they pair up, and each set has at most as many pairs as there are pairs of sources."""
+    sets = judged.groupBy("g", "f", "v").agg(F.min("p").alias("p"), F.array_sort(F.collect_set("s")).alias("ss")).where(F.size("ss") > 1)
+    sets = sets.groupBy("ss").agg(F.sum("p").alias("true"), F.sum(1 - F.col("p")).alias("false"))
+    each = sets.select("true", "false", F.explode("ss").alias("a"), "ss")
+    pairs = each.select("true", "false", "a", F.explode("ss").alias("b")).where("a < b").groupBy("a", "b").agg(F.sum("true").alias("same_true"), F.sum("false").alias("same_false"))
     acc_a, acc_b = accuracy.select(F.col("s").alias("a"), F.col("a").alias("pa")), accuracy.select(F.col("s").alias("b"), F.col("a").alias("pb"))
     pairs = pairs.join(acc_a, "a").join(acc_b, "b")
     err = (1 - F.col("pa")) * (1 - F.col("pb")) / n

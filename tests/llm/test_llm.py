@@ -56,6 +56,19 @@ def test_fusion_discounts_copies(spark):
     assert empty.count() == 0
 
 
+def test_fusion_counts_values_of_many_sources(spark):
+    data = []
+    for g in range(33):
+        # Ten copies share each false value. They outvote the six that speak against them in the last three groups.
+        for k in range(18) if g < 30 else range(6 * (g - 30), 6 * (g - 29)):
+            data.append((f"g{g}", f"i{k}-{g}", f"i{k}", f"true{g}"))
+        for k in range(10):
+            data.append((f"g{g}", f"c{k}-{g}", f"c{k}", f"false{g}" if g % 2 or g >= 30 else f"true{g}"))
+    df = spark.createDataFrame(data, "g string, id string, s string, v string")
+    out = survivors.fuse_fields(df, "g", "id", "s", ["v"], rounds=4)
+    assert all(r.value.startswith("true") for r in out.collect()) and out.count() == 33
+
+
 # --- components --------------------------------------------------------------------------------------------------------
 
 
