@@ -87,11 +87,12 @@ def fuse_fields(
     once per source, so what is compared is bounded by the number of sources, not of rows. Each round scores a value by the sum of its
     sources' log odds ``ln(n A / (1 - A))``, each vote discounted by the chance that it was copied, turns scores into posteriors over
     the values claimed in the group, and takes a source's accuracy as the mean posterior of its claims. Dependence of two sources follows
-    from the shares of claims on which they agree on true, agree on false, and differ: shared false values are strong evidence, as
-    independent sources seldom err alike. The source of higher accuracy counts as the original.
+    from the claims on which they agree on true, agree on false, and differ: shared false values are strong evidence, as independent
+    sources seldom err alike, and each difference speaks against. The source of higher accuracy counts as the original. A vote is
+    discounted only for the originals that claim the same value, so that what a partial copier claims on its own counts in full.
 
-    Source pairs are compared by counts per pair: a claim meets only the claims on its own value, first reduced to one per source, and
-    only the ``sources`` of one value (a bounded dimension) pair up, never the rows. Null groups, sources and absent values are left out.
+    Source pairs are compared by counts per pair: only the ``sources`` of one value or item (a bounded dimension) pair up, never the
+    rows, and values of the same sources do so once, as a set. Null groups, sources and absent values are left out.
     """
     claims = records.where(F.col(group).isNotNull() & F.col(source).isNotNull() & F.col(record).isNotNull()).select(
         F.col(group).alias("g"),
@@ -99,37 +100,63 @@ def fuse_fields(
         F.inline(F.array(*[F.struct(F.lit(f).alias("f"), F.regexp_replace(F.col(f).cast("string"), _BLANKS, "").alias("v")) for f in fields])),
     )
     claims = keep(claims.where(present(F.col("v"))).groupBy("g", "f", "s", "v").agg(F.count("*").alias("rows")), "claims")
-    acc = claims.select("s").distinct().select("s", F.lit(prior_accuracy).alias("a"), F.lit(1.0).alias("w"))
+    shared = claims.groupBy("g", "f", "v").agg(F.array_sort(F.collect_set("s")).alias("ss")).where(F.size("ss") > 1).withColumn("set", F.md5(F.to_json("ss")))
+    shared = keep(shared, "shared")
+    sets = keep(shared.select("set", "ss").distinct(), "sets")
+    common = keep(_common(claims), "common")
+    claims = keep(claims.join(shared.drop("ss"), ["g", "f", "v"], "left"), "marked")
+    acc = claims.select("s").distinct().select("s", F.lit(prior_accuracy).alias("a"))
+    own = None
     n = float(false_values)
     for k in range(rounds):
-        scored = claims.join(acc, "s").withColumn("vote", F.log(F.lit(n) * F.col("a") / (1 - F.col("a"))) * F.col("w"))
-        values = scored.groupBy("g", "f", "v").agg(F.sum("vote").alias("score"), F.count("*").alias("votes"))
+        scored = claims.join(acc, "s")
+        scored = scored.withColumn("w", F.lit(1.0)) if own is None else scored.join(own, ["set", "s"], "left")
+        scored = scored.withColumn("vote", F.log(F.lit(n) * F.col("a") / (1 - F.col("a"))) * F.coalesce("w", F.lit(1.0)))
+        values = scored.groupBy("g", "f", "v").agg(F.sum("vote").alias("score"), F.count("*").alias("votes"), F.max("set").alias("set"))
         top = values.groupBy("g", "f").agg(F.max("score").alias("top"), F.count("*").alias("kinds"))
         joined = values.join(top, ["g", "f"]).withColumn("e", F.exp(F.col("score") - F.col("top")))
         mass = joined.groupBy("g", "f").agg((F.sum("e") + F.greatest(F.lit(0.0), F.lit(n) - F.max("kinds") + 1) * F.exp(-F.max("top"))).alias("z"))
-        posterior = joined.join(mass, ["g", "f"]).select("g", "f", "v", "votes", F.round(F.col("e") / F.col("z"), 9).alias("p"))
+        posterior = joined.join(mass, ["g", "f"]).select("g", "f", "v", "votes", "set", F.round(F.col("e") / F.col("z"), 9).alias("p"))
         posterior = keep(posterior, f"posterior{k}")
         if k + 1 == rounds:
             break
-        judged = claims.join(posterior, ["g", "f", "v"])
-        accuracy = judged.groupBy("s").agg(F.least(F.lit(0.99), F.greatest(F.lit(0.05), F.avg("p"))).alias("a"))
-        acc = keep(accuracy.join(_independence(judged, accuracy, n, copy_rate, prior_dependence), "s", "left").select("s", "a", F.coalesce("w", F.lit(1.0)).alias("w")), f"accuracy{k}")
+        judged = claims.join(posterior.drop("set"), ["g", "f", "v"])
+        acc = keep(judged.groupBy("s").agg(F.least(F.lit(0.99), F.greatest(F.lit(0.05), F.avg("p"))).alias("a")), f"accuracy{k}")
+        dependence = keep(_dependence(posterior, sets, common, acc, n, copy_rate, prior_dependence), f"dependence{k}")
+        own = keep(_independence(sets, dependence, copy_rate), f"own{k}")
     best = posterior.groupBy("g", "f").agg(F.min(F.struct((-F.col("p")).alias("q"), "v", "votes")).alias("b"))
     return best.select(F.col("g").alias(group), F.col("f").alias("field"), F.col("b.v").alias("value"), (-F.col("b.q")).alias("posterior"), F.col("b.votes").alias("votes"))
 
 
-def _independence(judged: DataFrame, accuracy: DataFrame, n: float, copy_rate: float, prior: float) -> DataFrame:
-    """(s, w): the chance that a vote of a source is its own. Every value that two sources or more claim counts; values of the same sources are one set with
-    its sums before they pair up, and each set has at most as many pairs as there are pairs of sources."""
-    sets = judged.groupBy("g", "f", "v").agg(F.min("p").alias("p"), F.array_sort(F.collect_set("s")).alias("ss")).where(F.size("ss") > 1)
-    sets = sets.groupBy("ss").agg(F.sum("p").alias("true"), F.sum(1 - F.col("p")).alias("false"))
-    each = sets.select("true", "false", F.explode("ss").alias("a"), "ss")
-    pairs = each.select("true", "false", "a", F.explode("ss").alias("b")).where("a < b").groupBy("a", "b").agg(F.sum("true").alias("same_true"), F.sum("false").alias("same_false"))
+def _pairs(lists: DataFrame, column: str, *others: str) -> DataFrame:
+    """Every pair (a, b) of an array in ascending order."""
+    return lists.select(*others, F.explode(column).alias("a"), column).select(*others, "a", F.explode(column).alias("b")).where("a < b")
+
+
+def _common(claims: DataFrame) -> DataFrame:
+    """(a, b, both): on how many claims two sources can agree or differ: in each item (group, field) that both speak of, as many as the one with fewer values
+    claims there, so one where each claims one value. Items of the same sources are one list with its count before they pair up."""
+    items = claims.groupBy("g", "f", "s").agg(F.count("*").alias("n")).groupBy("g", "f").agg(F.array_sort(F.collect_list(F.struct("s", "n"))).alias("m")).where(F.size("m") > 1)
+    pairs = _pairs(items.groupBy("m").agg(F.count("*").alias("times")), "m", "times")
+    return pairs.groupBy(F.col("a.s").alias("a"), F.col("b.s").alias("b")).agg(F.sum(F.col("times") * F.least("a.n", "b.n")).alias("both"))
+
+
+def _dependence(posterior: DataFrame, sets: DataFrame, common: DataFrame, accuracy: DataFrame, n: float, copy_rate: float, prior: float) -> DataFrame:
+    """(a, b, copier, d): the chance that of two sources with a value in common the less accurate one copies. Log odds sum the ratios of what is seen if it does,
+    with chance ``copy_rate`` a claim, to what is seen if both err on their own. Every value that two sources or more claim counts."""
+    shares = posterior.where("set is not null").groupBy("set").agg(F.sum("p").alias("true"), F.sum(1 - F.col("p")).alias("false"))
+    pairs = _pairs(shares.join(sets, "set"), "ss", "true", "false").groupBy("a", "b").agg(F.sum("true").alias("same_true"), F.sum("false").alias("same_false"))
     acc_a, acc_b = accuracy.select(F.col("s").alias("a"), F.col("a").alias("pa")), accuracy.select(F.col("s").alias("b"), F.col("a").alias("pb"))
-    pairs = pairs.join(acc_a, "a").join(acc_b, "b")
-    err = (1 - F.col("pa")) * (1 - F.col("pb")) / n
-    true_ratio = F.log(copy_rate / F.greatest(F.lit(0.05), F.col("pb")) + 1 - copy_rate)
-    false_ratio = F.log(F.lit(copy_rate) * F.greatest(1 - F.col("pb"), F.lit(0.01)) / F.greatest(err, F.lit(1e-9)) + 1 - copy_rate)
-    odds = F.lit(math.log(prior / (1 - prior))) + F.col("same_true") * true_ratio * 0.1 + F.col("same_false") * false_ratio
-    chance = pairs.select(F.when(F.col("pa") >= F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("s"), (1 / (1 + F.exp(-F.least(odds, F.lit(50.0))))).alias("d"))
-    return chance.groupBy("s").agg((1 - copy_rate * F.max("d")).alias("w"))
+    pairs = pairs.join(common, ["a", "b"]).join(acc_a, "a").join(acc_b, "b")
+    low = F.least("pa", "pb")
+    differ = F.greatest(F.lit(0.0), F.col("both") - F.col("same_true") - F.col("same_false"))
+    true_ratio, false_ratio = F.log(copy_rate / low + 1 - copy_rate), F.log(copy_rate * n / (1 - low) + 1 - copy_rate)
+    odds = F.lit(math.log(prior / (1 - prior))) + F.col("same_true") * true_ratio + F.col("same_false") * false_ratio + differ * math.log(max(1 - copy_rate, 1e-9))
+    bounded = F.greatest(F.lit(-50.0), F.least(F.lit(50.0), odds))
+    return pairs.select("a", "b", F.when(F.col("pa") >= F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("copier"), (1 / (1 + F.exp(-bounded))).alias("d"))
+
+
+def _independence(sets: DataFrame, dependence: DataFrame, copy_rate: float) -> DataFrame:
+    """(set, s, w): the chance that a source has a value that just this set of sources claims from none of the more accurate ones among them."""
+    pairs = _pairs(sets, "ss", "set").join(dependence, ["a", "b"])
+    return pairs.groupBy("set", F.col("copier").alias("s")).agg(F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - copy_rate * F.col("d"))))).alias("w"))

@@ -69,6 +69,21 @@ def test_fusion_counts_values_of_many_sources(spark):
     assert all(r.value.startswith("true") for r in out.collect()) and out.count() == 33
 
 
+def test_fusion_keeps_votes_of_independent_sources(spark):
+    rng = random.Random(3)
+    data, plain = [], set()
+    for g in range(120):
+        # Sources that err on their own: where three of the four lesser ones are right, the best one alone does not outvote them.
+        said = {s: rng.random() < a for s, a in (("best", 0.9), ("i1", 0.75), ("i2", 0.75), ("i3", 0.75), ("i4", 0.75))}
+        data += [(f"g{g}", f"{s}-{g}", s, "true" if right else f"false{rng.randrange(20)}") for s, right in said.items()]
+        if sum(said.values()) - said["best"] >= 3:
+            plain.add(f"g{g}")
+    assert any(r[2] == "best" and r[3] != "true" for r in data if r[0] in plain)
+    df = spark.createDataFrame(data, "g string, id string, s string, v string")
+    out = {r.g: r.value for r in survivors.fuse_fields(df, "g", "id", "s", ["v"], rounds=4).collect()}
+    assert all(out[g] == "true" for g in plain)
+
+
 # --- components --------------------------------------------------------------------------------------------------------
 
 
