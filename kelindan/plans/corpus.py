@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kelindan.functions import text as T
 from kelindan.operators import corpus as C
+from kelindan.operators import linking as K
 from kelindan.session import spread, table
 
 
@@ -101,6 +102,17 @@ def place_mentions(spark: SparkSession, d: str) -> DataFrame:
     return titles.join(forms.withColumn("w", F.trim("f")), "w").groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("w")), "|").alias("places"))
 
 
+def places_named(documents: DataFrame, codes: DataFrame) -> DataFrame:
+    """(doc_id, places): regencies and cities, of any number of words, that a title or text names."""
+    terms = codes.select(F.explode(T.place_forms(T.place_name(F.col("nama")))).alias("f")).select(F.trim("f").alias("term")).distinct()
+    said = F.concat_ws(" ", "title", "text")
+    return K.find_terms(documents, terms, "doc_id", said).groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("term")), "|").alias("places"))
+
+
+def place_mentions_full(spark: SparkSession, d: str) -> DataFrame:
+    return places_named(_texts(spark, d), table(spark, d, "kabkota_codes"))
+
+
 QUERIES = {
     "exact_dup_groups": exact_dup_groups,
     "shingle_df": shingle_df,
@@ -115,6 +127,7 @@ QUERIES = {
     "topic_pages": topic_pages,
     "value_share": value_share,
     "place_mentions": place_mentions,
+    "place_mentions_full": place_mentions_full,
 }
 
 _NORM = r"trim(regexp_replace(strip_accents(lower(text)), '[^\p{L}\p{N}_]+', ' ', 'g'))"
@@ -157,4 +170,8 @@ ORACLES = {
     "place_mentions": r"""WITH b AS (SELECT trim(regexp_replace(strip_accents(lower(substr(nama, 6))), '[^a-z0-9]+', ' ', 'g')) AS b FROM kabkota_codes WHERE nama LIKE 'Kota %'),
         f AS (SELECT DISTINCT replace(b, ' ', '') AS w FROM b), t AS (SELECT doc_id, unnest(list_distinct(string_split(trim(regexp_replace(strip_accents(lower(title)), '[^a-z0-9]+', ' ', 'g')), ' '))) AS w FROM documents WHERE title <> '')
         SELECT doc_id, string_agg(DISTINCT w, '|' ORDER BY w) AS places FROM t JOIN f USING (w) GROUP BY doc_id""",
+    "place_mentions_full": r"""WITH b AS (SELECT trim(regexp_replace(strip_accents(lower(regexp_replace(nama, '^(?:Kabupaten|Kota(?: Administrasi)?) ', ''))), '[^a-z0-9]+', ' ', 'g')) AS b FROM kabkota_codes),
+        f AS (SELECT b AS w FROM b WHERE b <> '' UNION SELECT replace(b, ' ', '') FROM b WHERE b <> ''),
+        t AS (SELECT doc_id, ' ' || trim(regexp_replace(strip_accents(lower(coalesce(title, '') || ' ' || coalesce(text, ''))), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM documents)
+        SELECT doc_id, string_agg(DISTINCT w, '|' ORDER BY w) AS places FROM t JOIN f ON contains(t, ' ' || w || ' ') GROUP BY doc_id""",
 }

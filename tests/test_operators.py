@@ -14,6 +14,7 @@ from kelindan.operators import corpus as C
 from kelindan.operators import evaluation as E
 from kelindan.operators import ledger as L
 from kelindan.operators import linking as K
+from kelindan.plans import corpus as P
 
 
 @pytest.mark.parametrize("size", [1, 2, 100])
@@ -107,3 +108,9 @@ def test_evaluation(spark):
     q = E.quota_sample(items, "st", "id", "g", {"s": 4, "t": 10}, 2)
     n = {r.st: r["count"] for r in q.groupBy("st").count().collect()}
     assert n["s"] == 4 and n["t"] <= 10 and q.groupBy("st", "g").count().agg(F.max("count")).collect()[0][0] <= 2
+
+
+def test_places_named(spark):
+    codes = spark.createDataFrame([("Kota Batu Putih",), ("Kabupaten Lain",), ("Kabupaten Muara Dua Timur",)], "nama string")
+    docs = spark.createDataFrame([(1, "Di Batu Putih", "Makan"), (2, None, "Warga Lain di batuputih"), (3, "Muara Dua", "Lainnya"), (4, "Siswa", "di Muara Dua Timur."), (5, "Lain", None)], "doc_id int, title string, text string")
+    assert rows(P.places_named(docs, codes), "doc_id", "places") == [(1, "batu putih"), (2, "batuputih|lain"), (4, "muara dua timur"), (5, "lain")]
