@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kelindan.functions import cells
@@ -79,6 +79,16 @@ def lexicon_indicators(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", X.says(t, X.HEDGE).alias("hedged"), *cols)
 
 
+def full_indicators(t: Column) -> list[Column]:
+    """As the columns of lexicon_indicators, from the banks with all classes."""
+    return [*X.indicators(t, X.MECHANISM_FULL, "mech"), *X.indicators(t, X.FOODS, "food", r"\b", r"\b"), *X.indicators(t, X.SYMPTOMS_FULL, "sym", r"\b"), *X.indicators(t, X.CARE_FULL, "care", r"\b", r"\b"), *X.indicators(t, X.RESPONSE_FULL, "resp")]
+
+
+def lexicon_indicators_full(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return _docs(spark, d).select("doc_id", X.says(t, X.HEDGE).alias("hedged"), *full_indicators(t))
+
+
 def suspected_foods(spark: SparkSession, d: str) -> DataFrame:
     """Foods named in the same sentence as a cue of suspicion."""
     s = _docs(spark, d).select("doc_id", T.sentences(F.col("text")).alias("s")).select("doc_id", F.filter("s", lambda x: X.says(x, X.SUSPECT)).alias("s"))
@@ -152,6 +162,7 @@ QUERIES = {
     "label_frame": label_frame,
     "dates_in_text": dates_in_text,
     "lexicon_indicators": lexicon_indicators,
+    "lexicon_indicators_full": lexicon_indicators_full,
     "suspected_foods": suspected_foods,
     "certainty_ladder": certainty_ladder,
     "first_finding": first_finding,
@@ -174,6 +185,8 @@ _STATE = f"""CASE WHEN len(list_filter(s, lambda x: {_FINDS})) > 0 THEN 'contami
     WHEN {_SAYS("text", X.AWAITING)} THEN 'awaiting' WHEN {_SAYS("text", X.SAMPLES)} THEN 'samples' ELSE 'none' END"""
 _IND = [(f"mech_{n}", p, "", "") for n, p in X.MECHANISM.items()] + [(f"food_{n}", p, r"\b", r"\b") for n, p in X.FOODS.items()] + [(f"sym_{n}", p, r"\b", "") for n, p in X.SYMPTOMS.items()]
 _IND += [(f"care_{n}", p, r"\b", r"\b") for n, p in X.CARE.items()] + [(f"resp_{n}", p, "", "") for n, p in X.RESPONSE.items()]
+_FULL = [(f"mech_{n}", p, "", "") for n, p in X.MECHANISM_FULL.items()] + [(f"food_{n}", p, r"\b", r"\b") for n, p in X.FOODS.items()] + [(f"sym_{n}", p, r"\b", "") for n, p in X.SYMPTOMS_FULL.items()]
+_FULL += [(f"care_{n}", p, r"\b", r"\b") for n, p in X.CARE_FULL.items()] + [(f"resp_{n}", p, "", "") for n, p in X.RESPONSE_FULL.items()]
 _NAMED = lambda c, bank: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_SAYS(c, p)} THEN '{n}' END" for n, p in bank.items()) + "], lambda z: z IS NOT NULL), '|')"
 _KINDS = f"""{_D}, {_S}, e AS (SELECT doc_id, text, s, generate_subscripts(s, 1) AS k, unnest(s) AS x FROM c),
     f AS (SELECT doc_id, text, k, x, CASE WHEN k > 1 THEN s[k - 1] END AS before_, unnest(list_filter([CASE WHEN {_FINDS} THEN 'contamination' WHEN {_CLEANS} THEN 'clean' WHEN {_SAYS("x", X.AWAITING)} THEN 'awaiting' END,
@@ -231,6 +244,7 @@ ORACLES = {
         WITH n AS (SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_shipdate::DATE BETWEEN o_orderdate::DATE - 1 AND o_orderdate::DATE + 30 GROUP BY o_orderkey)
         SELECT CASE WHEN n = 1 THEN 'linked' WHEN n > 1 THEN 'ambiguous' ELSE 'none' END AS decision, count(*) AS orders FROM n GROUP BY 1""",
     "lexicon_indicators": f"WITH {_D} SELECT doc_id, {_SAYS('text', X.HEDGE)} AS hedged, " + ", ".join(f"{_SAYS('text', f'{left}(?:{p}){right}')} AS {n}" for n, p, left, right in _IND) + " FROM d",
+    "lexicon_indicators_full": f"WITH {_D} SELECT doc_id, {_SAYS('text', X.HEDGE)} AS hedged, " + ", ".join(f"{_SAYS('text', f'{left}(?:{p}){right}')} AS {n}" for n, p, left, right in _FULL) + " FROM d",
     "suspected_foods": f"""WITH {_D}, {_S}, k AS (SELECT doc_id, list_filter(s, lambda x: {_SAYS("x", X.SUSPECT)}) AS s FROM c)
         SELECT doc_id, array_to_string(list_filter([{", ".join(f"CASE WHEN len(list_filter(s, lambda x: {_SAYS('x', chr(92) + f'b(?:{p})' + chr(92) + 'b')})) > 0 THEN '{n}' END" for n, p in X.FOODS.items())}], lambda z: z IS NOT NULL), '|') AS foods FROM k""",
     "certainty_ladder": f"WITH {_D}, {_S} SELECT doc_id, {_STATE} AS certainty FROM c",

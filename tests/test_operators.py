@@ -15,6 +15,7 @@ from kelindan.operators import evaluation as E
 from kelindan.operators import ledger as L
 from kelindan.operators import linking as K
 from kelindan.plans import corpus as P
+from kelindan.plans import evidence as V
 
 
 @pytest.mark.parametrize("size", [1, 2, 100])
@@ -114,3 +115,12 @@ def test_places_named(spark):
     codes = spark.createDataFrame([("Kota Batu Putih",), ("Kabupaten Lain",), ("Kabupaten Muara Dua Timur",)], "nama string")
     docs = spark.createDataFrame([(1, "Di Batu Putih", "Makan"), (2, None, "Warga Lain di batuputih"), (3, "Muara Dua", "Lainnya"), (4, "Siswa", "di Muara Dua Timur."), (5, "Lain", None)], "doc_id int, title string, text string")
     assert rows(P.places_named(docs, codes), "doc_id", "places") == [(1, "batu putih"), (2, "batuputih|lain"), (4, "muara dua timur"), (5, "lain")]
+
+
+def test_all_classes(spark):
+    said = {
+        "mech_denial": "Bukan karena MBG", "sym_sakit_perut": "Perut melilit", "care_inpatient": "Dilarikan ke rumah sakit", "resp_halted": "SPPG itu dibekukan", "resp_outbreak": "Status KLB", "resp_national_agency": "Badan Gizi Nasional",
+        "resp_bpom": "Badan Pengawas Obat", "resp_certificate": "Sertifikat laik higiene", "resp_legislators": "Anggota dewan", "resp_programme_halt": "Setop sementara MBG",
+    }
+    df = spark.createDataFrame(list(said.items()), "name string, text string").select("name", *V.full_indicators(F.col("text")))
+    assert all(r[r.name] for r in df.collect()) and df.count() == 10
