@@ -63,6 +63,15 @@ def sentences(c: Column) -> Column:
     return F.filter(F.split(c, SENTENCE_END), lambda s: F.trim(s) != "")
 
 
+#: A line that teases a video or points at a related story.
+TEASER = r"(?i)\b(?:simak|lihat|saksikan)\s+(?:juga\s+)?video\b|^[^a-z0-9]*(?:baca|simak|lihat)\s+juga\b"
+
+
+def drop_teasers(c: Column) -> Column:
+    """A text without its lines of teasers; other lines, blank ones included, stay as they are."""
+    return F.when(c.rlike(r"(?i)video|juga"), F.array_join(F.filter(F.split(c, "\n"), lambda x: ~x.rlike(TEASER)), "\n")).otherwise(c)
+
+
 def shingles(words: Column, k: int = 5) -> Column:
     """Distinct k-word sequences of an array of words, which should be a column of its own, not an expression; shorter texts are one
     sequence; no words give an empty array."""
@@ -70,17 +79,6 @@ def shingles(words: Column, k: int = 5) -> Column:
     return F.when(F.size(words) > 0, F.array_distinct(many)).otherwise(F.array().cast("array<string>"))
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Similarity of two arrays as sets; 0 if both are empty."""
-    both = F.size(F.array_intersect(a, b))
-    return F.coalesce(F.try_divide(both, F.size(F.array_union(a, b))), F.lit(0.0))
-
-
-def mentions(padded: Column, phrases: Column) -> Column:
-    """Does a padded text hold any of the padded phrases? Null if there are none to look for."""
-    return F.when(F.size(phrases) > 0, F.exists(phrases, lambda p: F.contains(padded, p)))
-
-
 def place_forms(name: Column) -> Column:
     """Written forms of a place: as it is and run together, padded, sorted."""
     base = F.trim(norm_padded(name))

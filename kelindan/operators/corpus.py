@@ -71,3 +71,15 @@ def canonical(records: DataFrame, cluster: str, doc: str, order: list) -> DataFr
     joined = records.join(first, cluster)
     same = F.col(doc) == F.col("f.id")
     return joined.withColumn("is_canonical", same).withColumn("duplicate_of", F.when(~same, F.col("f.id"))).drop("f")
+
+
+def upper_median(rows: DataFrame, value: str, block: int = 1024) -> DataFrame:
+    """One row (upper_median): the value at position n div 2, from 0, of the whole numbers of a column; null for none. Counts per block of values say in which block that
+    position lies, and only that block's values, of which there are ``block`` at most, are gone through in order."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("long").alias("v")).agg(F.count("*").alias("n")).withColumn("b", F.floor(F.col("v") / block))
+    blocks = counts.groupBy("b").agg(F.sum("n").alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    upto = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    at = blocks.withColumn("upto", F.sum("n").over(upto)).join(total).where("upto > total div 2").agg(F.min(F.struct("b", (F.col("upto") - F.col("n")).alias("before"), "total")).alias("at")).select("at.*")
+    inner = counts.join(at, "b").withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    return inner.where("upto > total div 2").agg(F.min("v").alias("upper_median"))

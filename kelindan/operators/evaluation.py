@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import random
+import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +17,6 @@ def kappa(rows: DataFrame, a: str, b: str) -> DataFrame:
     """(n, observed, expected, kappa) of two raters; 1 where chance alone would agree always; null for no rows. One pass counts label pairs, whose number
     is bounded by the labels."""
     pairs = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count("*").alias("c"))
-    total = F.sum("c").over(Window.partitionBy())
     of_a = pairs.groupBy(F.col("x").alias("l")).agg(F.sum("c").alias("ca"))
     of_b = pairs.groupBy(F.col("y").alias("l")).agg(F.sum("c").alias("cb"))
     both = of_a.join(of_b, "l").agg(F.sum(F.col("ca") * F.col("cb")).cast("double").alias("chance"))
@@ -44,23 +44,26 @@ def recall(table: DataFrame) -> DataFrame:
 
 
 def bootstrap_recall(table: DataFrame, draws: int = 2000, seed: int = 1, blocks: int = 16) -> DataFrame:
-    """(low, high) of the recall by resampling each stratum, which is a binomial draw of its k; draws are made side by side, each with its own seed."""
-    rows = [(r.role, int(r.n), int(r.k), float(r.pool)) for r in table.where("n > 0").select("role", "n", "k", "pool").limit(10_000).collect()]
+    """(low, high) of the recall by resampling: each stratum with labels is drawn anew as a binomial of its n and rate, once a draw. Strata stay distributed: one row a
+    stratum draws all its numbers from a seed of its own, and draws are summed by an aggregate, so any number of strata will do."""
+    strata = table.where("n > 0").select("stratum", "role", F.col("n").cast("long").alias("n"), F.col("k").cast("long").alias("k"), F.col("pool").cast("double").alias("pool"))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids = np.arange(draws)
         for pdf in batches:
-            out = []
-            for i in pdf["id"]:
-                rng = random.Random(seed * 1_000_003 + int(i))
-                found = missed = 0.0
-                for role, n, k, pool in rows:
-                    share = pool * sum(rng.random() < k / n for _ in range(n)) / n
-                    found, missed = (found + share, missed) if role == "flagged" else (found, missed + share)
-                out.append(found / (found + missed) if found + missed else None)
-            yield pd.DataFrame({"r": out})
-
-    drawn = table.sparkSession.range(0, draws, 1, blocks).mapInPandas(draw, "r double").where("r is not null")
-    return drawn.agg(F.percentile("r", 0.025).alias("low"), F.percentile("r", 0.975).alias("high"))
+            found, missed = np.zeros(draws), np.zeros(draws)
+            for name, role, n, k, pool in pdf.itertuples(index=False):
+                rng = np.random.default_rng([seed, *hashlib.sha256(f"{role}|{name}".encode()).digest()[:8]])
+                share = pool * rng.binomial(n, k / n, draws) / n
+                if role == "flagged":
+                    found += share
+                else:
+                    missed += share
+            yield pd.DataFrame({"i": ids, "found": found, "missed": missed})
+
+    drawn = strata.repartition(blocks, "stratum").mapInPandas(draw, "i long, found double, missed double").groupBy("i").agg(F.sum("found").alias("f"), F.sum("missed").alias("m"))
+    share = drawn.select(F.try_divide("f", F.col("f") + F.col("m")).alias("r")).where("r is not null")
+    return share.agg(F.percentile("r", 0.025).alias("low"), F.percentile("r", 0.975).alias("high"))
 
 
 def quota_sample(rows: DataFrame, stratum: str, key: str, group: str, quota: dict[str, int], per_group: int = 1, salt: str = "7") -> DataFrame:

@@ -27,15 +27,20 @@ def _before(blocks: DataFrame, key: str, value: str, how: str) -> DataFrame:
 # must not decrease in it): windows run within (key, block), and blocks, of which there are few, are stitched by a window over one row each.
 
 
+def numbered(rows: DataFrame, group: str, order: list[str], block: Column) -> DataFrame:
+    """Adds ``k``, the number of a row, from 1, in its group's order."""
+    b = _blocks(rows, group, block)
+    before = _before(b.groupBy(group, "__block").agg(F.count("*").alias("__n")), group, "__n", "sum")
+    inner = b.withColumn("__k", F.row_number().over(Window.partitionBy(group, "__block").orderBy(*order)))
+    return inner.join(before, [group, "__block"]).withColumn("k", F.col("__k") + F.col("__before")).drop("__block", "__k", "__before")
+
+
 def interleave(rows: DataFrame, group: str, order: list[str], block: Column) -> DataFrame:
     """Adds ``round`` and ``group_first``, the position in a round robin over groups: first the first row of each group, in the order in which groups begin. What
     sorts turns is two columns, so no global sort in one task is needed."""
-    b = _blocks(rows, group, block)
-    per = b.groupBy(group, "__block").agg(F.count("*").alias("__n"))
     first = rows.groupBy(group).agg(F.min(F.struct(*order)).alias("__f"))
-    inner = b.withColumn("__k", F.row_number().over(Window.partitionBy(group, "__block").orderBy(*order)))
-    out = inner.join(_before(per, group, "__n", "sum"), [group, "__block"]).join(first, group)
-    return out.withColumn("round", F.col("__k") + F.col("__before")).withColumn("group_first", F.col(f"__f.{order[0]}")).drop("__block", "__k", "__before", "__f")
+    out = numbered(rows, group, order, block).join(first, group)
+    return out.withColumnRenamed("k", "round").withColumn("group_first", F.col(f"__f.{order[0]}")).drop("__f")
 
 
 def failure_runs(log: DataFrame, key: str, order: list[str], failed: Column, least: int, block: Column) -> DataFrame:

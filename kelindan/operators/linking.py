@@ -19,13 +19,15 @@ BUCKET_DAYS = 32
 def event_terms(events: DataFrame) -> DataFrame:
     """(event_id, opens, closes, kind, term): where an event can be named, and when. ``events``: event_id, date_start, date_end, venues (array), place. Events
     without a date or a place are left out; venues need 8 normalised characters and must not be unspecified."""
+    # Written once: both kinds of terms are read from it, and its expressions are long.
     keyed = events.select(
         "event_id",
         F.date_sub(T.first_day(F.col("date_start")), 1).alias("opens"),
         F.date_add(F.greatest(T.first_day(F.col("date_start")), T.final_day(F.coalesce(F.nullif("date_end", F.lit("")), "date_start"))), 30).alias("closes"),
         F.filter(F.transform("venues", lambda v: F.when(~F.lower(v).contains("spesifik"), F.trim(T.norm_padded(v)))), lambda v: F.length(v) >= 8).alias("venue"),
         F.transform(T.place_forms(T.place_name(F.col("place"))), lambda p: F.trim(p)).alias("place"),
-    ).where("opens is not null and closes is not null and size(place) > 0")
+    )
+    keyed = keep(keyed, "event-names").where("opens is not null and closes is not null and size(place) > 0")
     as_terms = lambda kind: keyed.select("event_id", "opens", "closes", F.lit(kind).alias("kind"), F.explode(kind).alias("term"))
     return as_terms("venue").unionByName(as_terms("place")).distinct()
 
@@ -60,19 +62,31 @@ def find_terms(texts: DataFrame, terms: DataFrame, doc: str, text: Column, ancho
     return short.unionByName(said).distinct()
 
 
-def matches(articles: DataFrame, terms: DataFrame, doc: str, text: Column, when: str, anchored: DataFrame | None = None) -> DataFrame:
-    """(doc, event_id, kind): events whose window holds the article's date and which its text names; if any is named by its venue, only those."""
+def _within(found: DataFrame, articles: DataFrame, terms: DataFrame, doc: str, when: str) -> DataFrame:
+    """(doc, event_id, kind): events of the terms found whose window holds the article's date; if any is named by its venue, only those."""
     # Dates are part of the key, in buckets about as long as a window: a place with many events meets an article only with those of its weeks.
     bucket = lambda c: F.floor(F.unix_date(c) / BUCKET_DAYS)
     dated = articles.select(doc, when, bucket(F.col(when)).alias("bucket")).where(F.col(when).isNotNull())
-    found = find_terms(articles.where(F.col(when).isNotNull()), terms, doc, text, anchored).join(dated, doc)
     spread = terms.withColumn("bucket", F.explode(F.sequence(bucket(F.col("opens")), bucket(F.col("closes")))))
-    hit = found.join(spread, ["term", "bucket"]).where(F.col(when).between(F.col("opens"), F.col("closes")))
+    hit = found.join(dated, doc).join(spread, ["term", "bucket"]).where(F.col(when).between(F.col("opens"), F.col("closes")))
     one = hit.groupBy(doc, "event_id").agg(F.max("kind").alias("kind"))
     best = one.groupBy(doc).agg(F.max("kind").alias("best"))
     return one.join(best, doc).where("kind = best").select(doc, "event_id", "kind")
 
 
+def matches(articles: DataFrame, terms: DataFrame, doc: str, text: Column, when: str, anchored: DataFrame | None = None) -> DataFrame:
+    """(doc, event_id, kind): events whose window holds the article's date and which its text names; if any is named by its venue, only those."""
+    return _within(find_terms(articles.where(F.col(when).isNotNull()), terms, doc, text, anchored), articles, terms, doc, when)
+
+
+def matches_twice(articles: DataFrame, terms: DataFrame, doc: str, lead: Column, body: Column, when: str) -> tuple[DataFrame, DataFrame]:
+    """``matches`` of the lead and of the body. A body is searched only where its lead names no event, as it decides nothing elsewhere."""
+    anchored = keep(anchors(terms), "anchors")
+    strong = keep(matches(articles, terms, doc, lead, when, anchored), "strong")
+    rest = articles.join(strong.select(doc).distinct(), doc, "left_anti")
+    return strong, matches(rest, terms, doc, body, when, anchored)
+
+
 def decide(articles: DataFrame, strong: DataFrame, weak: DataFrame, doc: str) -> DataFrame:
     """(doc, decision, tier, event_ids): one strong match links, several are ambiguous, else matches of the body are weak, else none."""
     of = lambda m, p: m.groupBy(doc).agg(F.sort_array(F.collect_set("event_id")).alias(p))

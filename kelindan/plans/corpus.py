@@ -42,13 +42,12 @@ def canonical_docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
-    """With the upper median: the value at position n div 2 from 0. Ranks come from counts per value, not from one sorted list."""
+    """With the upper median: the value at position n div 2 from 0."""
     c = table(spark, d, "corpus").dropDuplicates(["doc_id"])
     sizes = c.where("trim(cluster_id) <> ''").groupBy("cluster_id").agg(F.count("*").alias("n"))
-    values = c.where("n_chars is not null").groupBy("n_chars").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy("n_chars")))
-    total = c.agg(F.count("*").alias("docs"), F.count("n_chars").alias("sized"), F.countDistinct("domain").alias("domains"))
-    median = values.join(total.select("sized")).where("upto > sized div 2").agg(F.min("n_chars").cast("long").alias("upper_median"))
-    return total.select("docs", "domains").join(sizes.agg(F.count("*").alias("clusters"), F.max("n").alias("largest"))).join(median)
+    total = c.agg(F.count("*").alias("docs"), F.countDistinct("domain").alias("domains"))
+    median = C.upper_median(c, "n_chars").select(F.col("upper_median").cast("long").alias("upper_median"))
+    return total.join(sizes.agg(F.count("*").alias("clusters"), F.max("n").alias("largest"))).join(median)
 
 
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
@@ -94,14 +93,6 @@ def value_share(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
 
 
-def place_mentions(spark: SparkSession, d: str) -> DataFrame:
-    """Cities, written as one word, that a title names: an equi-join of words and forms, not a test of each title for each city."""
-    codes = table(spark, d, "kabkota_codes").where("nama like 'Kota %'").select(T.place_forms(T.place_name(F.col("nama"))).alias("forms"))
-    forms = codes.select(F.explode("forms").alias("f")).distinct()
-    titles = table(spark, d, "documents").where("title <> ''").select("doc_id", F.explode(F.array_distinct(F.split(F.trim(T.norm_padded(F.col("title"))), " "))).alias("w"))
-    return titles.join(forms.withColumn("w", F.trim("f")), "w").groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("w")), "|").alias("places"))
-
-
 def places_named(documents: DataFrame, codes: DataFrame) -> DataFrame:
     """(doc_id, places): regencies and cities, of any number of words, that a title or text names."""
     terms = codes.select(F.explode(T.place_forms(T.place_name(F.col("nama")))).alias("f")).select(F.trim("f").alias("term")).distinct()
@@ -109,7 +100,7 @@ def places_named(documents: DataFrame, codes: DataFrame) -> DataFrame:
     return K.find_terms(documents, terms, "doc_id", said).groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("term")), "|").alias("places"))
 
 
-def place_mentions_full(spark: SparkSession, d: str) -> DataFrame:
+def place_mentions(spark: SparkSession, d: str) -> DataFrame:
     return places_named(_texts(spark, d), table(spark, d, "kabkota_codes"))
 
 
@@ -127,7 +118,6 @@ QUERIES = {
     "topic_pages": topic_pages,
     "value_share": value_share,
     "place_mentions": place_mentions,
-    "place_mentions_full": place_mentions_full,
 }
 
 _NORM = r"trim(regexp_replace(strip_accents(lower(text)), '[^\p{L}\p{N}_]+', ' ', 'g'))"
@@ -167,10 +157,7 @@ ORACLES = {
         g AS (SELECT page_id, count(*) AS items, round(avg(CASE WHEN regexp_matches(said, '(?i)siswa|santri|murid|pelajar|balita|anak|dapur|porsi') THEN 1 ELSE 0 END), 6) AS on_topic FROM e GROUP BY page_id)
         SELECT * FROM g WHERE items >= 5 AND on_topic < 0.2""",
     "value_share": "SELECT coalesce(lang, '(none)') AS lang, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM documents GROUP BY 1",
-    "place_mentions": r"""WITH b AS (SELECT trim(regexp_replace(strip_accents(lower(substr(nama, 6))), '[^a-z0-9]+', ' ', 'g')) AS b FROM kabkota_codes WHERE nama LIKE 'Kota %'),
-        f AS (SELECT DISTINCT replace(b, ' ', '') AS w FROM b), t AS (SELECT doc_id, unnest(list_distinct(string_split(trim(regexp_replace(strip_accents(lower(title)), '[^a-z0-9]+', ' ', 'g')), ' '))) AS w FROM documents WHERE title <> '')
-        SELECT doc_id, string_agg(DISTINCT w, '|' ORDER BY w) AS places FROM t JOIN f USING (w) GROUP BY doc_id""",
-    "place_mentions_full": r"""WITH b AS (SELECT trim(regexp_replace(strip_accents(lower(regexp_replace(nama, '^(?:Kabupaten|Kota(?: Administrasi)?) ', ''))), '[^a-z0-9]+', ' ', 'g')) AS b FROM kabkota_codes),
+    "place_mentions": r"""WITH b AS (SELECT trim(regexp_replace(strip_accents(lower(regexp_replace(nama, '^(?:Kabupaten|Kota(?: Administrasi)?) ', ''))), '[^a-z0-9]+', ' ', 'g')) AS b FROM kabkota_codes),
         f AS (SELECT b AS w FROM b WHERE b <> '' UNION SELECT replace(b, ' ', '') FROM b WHERE b <> ''),
         t AS (SELECT doc_id, ' ' || trim(regexp_replace(strip_accents(lower(coalesce(title, '') || ' ' || coalesce(text, ''))), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM documents)
         SELECT doc_id, string_agg(DISTINCT w, '|' ORDER BY w) AS places FROM t JOIN f ON contains(t, ' ' || w || ' ') GROUP BY doc_id""",

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelindan.functions.stats import fisher_p
 from kelindan.operators import evaluation as E
 from kelindan.operators import matching as M
+from kelindan.operators.ledger import numbered
 from kelindan.session import table
 
 _FLAGS = {"ill": r"sakit|mual|muntah|diare", "lab": r"laborat|hasil uji", "police": r"polisi|kepolisian", "water": r"air sumur"}
@@ -85,8 +86,9 @@ def quota_sample(spark: SparkSession, d: str) -> DataFrame:
 
 def every_kth(spark: SparkSession, d: str) -> DataFrame:
     """Every tenth flagged article of a domain."""
-    w = Window.partitionBy("domain").orderBy("doc_id")
-    return _coded(spark, d).where("ill and domain is not null").select("doc_id", "domain", F.row_number().over(w).alias("k")).where("k % 10 = 0").select("doc_id", "domain")
+    rows = _coded(spark, d).where("ill and domain is not null").select("doc_id", "domain")
+    block = F.format_string("%015d", F.floor(F.col("doc_id") / 100_000))
+    return numbered(rows, "domain", ["doc_id"], block).where("k % 10 = 0").select("doc_id", "domain")
 
 
 def share_unpivot(spark: SparkSession, d: str) -> DataFrame:

@@ -171,7 +171,10 @@ ORACLES = {
         WITH d AS (SELECT o_orderdate::DATE AS d, sum(o_totalprice::DECIMAL(20,2)) AS v FROM orders GROUP BY 1), r AS (SELECT d, sum(v) OVER (ORDER BY d) AS total FROM d)
         SELECT min(d)::VARCHAR AS reached_on, min(total)::DOUBLE AS total FROM r WHERE total >= 10000000""",
     "venue_levels": f"""{_ONE}
-        SELECT incident_id, CASE {" ".join(f"WHEN regexp_matches(venue_raw, '^(?i:{p})') THEN '{level}'" for p, level in I.LEVELS)} END AS level,
+        SELECT incident_id, CASE WHEN regexp_matches(trim(venue_raw), '^(?i:tk\\w*|paud|ra|kb)\\b') THEN 'early_childhood' WHEN regexp_matches(trim(venue_raw), '^(?i:sd\\w*|mi[nsm]?)\\b') THEN 'primary'
+                 WHEN regexp_matches(trim(venue_raw), '^(?i:(?:smp|mts)\\w*)') THEN 'junior_secondary' WHEN regexp_matches(trim(venue_raw), '^(?i:sm[ak]\\w*|ma[nsk]?)\\b') THEN 'senior_secondary'
+                 WHEN regexp_matches(trim(venue_raw), '^(?i:slb)\\b') THEN 'special_needs' WHEN regexp_matches(trim(venue_raw), '^(?i:pesantren|ponpes|pondok)\\b') THEN 'pesantren'
+                 WHEN regexp_matches(trim(venue_raw), '^(?i:p[ao]syandu)\\b') THEN 'community_health_post' END AS level,
                CASE WHEN trim(venue_raw) <> '' AND NOT regexp_matches(venue_raw, '(?i)tidak\\s+(?:disebutkan|diumumkan)|spesifik') THEN trim(venue_raw) END AS venue FROM i""",
     "alias_lookup": f"""{_ONE}, n AS (SELECT incident_id, lower(trim(regexp_replace(kabkota, '[\\s\\x{{00a0}}]+', ' ', 'g'))) AS k FROM i),
         e AS (SELECT lower(nama) AS k, min(kode) AS kode FROM kabkota_codes GROUP BY 1),

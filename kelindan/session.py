@@ -31,20 +31,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """A scan that comes in fewer splits than there are cores, as a small file does, is spread over them, for queries whose work per row is large. A
-    scan of many splits stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    scan of many splits stays as it is: what it reads, by the files' sizes, fills the cores anyway. The rows are the same either way."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, a single machine) a temporary folder of this machine takes its place."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share. The cluster names it in ``spark.checkpoint.dir``, or the application by ``setCheckpointDir``. Where both are unset, a
+    local session, whose executors are this machine, gets a temporary folder; any other raises, as executors would each write to a disk of their own."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kelindan-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="kelindan-"))
+    return context.getCheckpointDir().rstrip("/")
 
 
 def scratch(spark: SparkSession, label: str) -> str:

@@ -115,3 +115,8 @@ def test_labels(spark):
     assert sorted((r.id, r.problem) for r in label_problems(df, "id", {"about": ["YES", "NO"]}).collect()) == [(2, "missing"), (3, "invalid")]
     r = repeat_agreement(df.withColumn("l", F.upper(F.trim("about"))), "id", "rep", "l").collect()[0]
     assert (r.n, r.same) == (3, 1)
+
+
+def test_people_in_prose(spark):
+    said = "Dari total 517 siswa, 12 orang siswa dan 3 guru sakit; 1.200 siswa yang terdaftar, 90 penerima manfaat"
+    assert one(spark, cells.prose_counts, said, "") == [[3, 12, 90], []]

@@ -2,20 +2,21 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
 
 import pytest
-
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import rows
 from kelindan.functions import lexicon as X
 from kelindan.functions import text as T
+from kelindan.functions.phrases import pattern
 from kelindan.operators import corpus as C
 from kelindan.operators import evaluation as E
 from kelindan.operators import ledger as L
 from kelindan.operators import linking as K
 from kelindan.plans import corpus as P
-from kelindan.plans import evidence as V
 
 
 @pytest.mark.parametrize("size", [1, 2, 100])
@@ -90,17 +91,52 @@ def test_linking(spark):
     assert {r.doc_id: r.decision for r in K.decide(docs, m, m.limit(0), "doc_id").collect()} == {1: "linked", 2: "ambiguous", 3: "linked", 4: "none", 5: "none", 6: "none", 7: "none"}
 
 
+FOUND = [
+    "Hasil uji laboratorium menunjukkan adanya bakteri",
+    "dari hasil lab ada kandungan bakteri, dan tidak menemukan unsur pidana",
+    "Sampel nasi itu positif mengandung Salmonella",
+    "Dinas menyebut kejadian itu dipicu kadar nitrit yang tinggi",
+    "Bakteri E. coli juga ditemukan pada sampel air",
+    "Kandungan histamin di menu ikan melebihi batas",
+    "Hasil penelitian BPOM memperlihatkan kuman yang dapat menyebabkan mual",
+]
+NOT_FOUND = [
+    "Belum ada hasil lab yang menyebut bakteri",
+    "Dari hasil pemeriksaan ditemukan 40 siswa yang mual",
+    "Mual biasanya disebabkan oleh bakteri pada nasi basi",
+    "Zat yang dipicu bakteri di dapur bisa menjadi racun",
+    "Hasil uji menunjukkan air tidak mengandung bakteri",
+    "Kami menunggu hasil lab apakah sampel mengandung nitrit",
+]
+
+
 def test_lexicon(spark):
-    said = ["Hasil uji laboratorium menunjukkan adanya bakteri", "Belum ada hasil lab yang menyebut bakteri", "dari hasil lab ada kandungan bakteri, dan tidak menemukan unsur pidana", "Hasil pemeriksaan sampel negatif", "Kami menunggu hasil laboratorium", "Makan siang"]
-    df = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, s string").select("i", X.certainty(F.col("s"), T.sentences(F.col("s"))).alias("c")).orderBy("i")
-    assert [r.c for r in df.collect()] == ["contamination", "none", "contamination", "clean", "awaiting", "none"]
-    assert X.version(X.FOODS) != X.version(X.SYMPTOMS)
+    df = spark.createDataFrame([(s, s in FOUND) for s in FOUND + NOT_FOUND], "s string, want boolean")
+    assert [r.s for r in df.select("s", "want", X.states_finding(F.col("s")).alias("got")).where("got <> want").collect()] == []
+    said = [*FOUND[:2], NOT_FOUND[0], "Hasil pemeriksaan sampel negatif", "Hasil pemeriksaan psikologis negatif", "Kami menunggu hasil laboratorium", "Makan siang"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, s string").select("i", X.certainty(F.col("s"), T.sentences(F.col("s"))).alias("c"), X.flagged(F.col("s")).alias("f")).orderBy("i")
+    assert [(r.c, r.f) for r in df.collect()] == [("contamination", True)] * 2 + [("none", False), ("clean", True), ("none", False), ("awaiting", True), ("none", False)]
+    titles = spark.createDataFrame([("Terungkap, nasi mengandung bakteri",), ("Polisi selidiki penyebab mual",), ("Siswa mual",)], "t string")
+    assert [r[0] for r in titles.select(X.headline_cause(F.col("t"))).collect()] == [True, False, False]
+    assert len(X.version()) == 16
+
+
+def test_phrases():
+    assert re.fullmatch(pattern("<a/b> (c) d*"), "b c dx") and re.fullmatch(pattern("<a/b> (c) d*"), "a  d") and not re.fullmatch(pattern("a b"), "ab")
+    assert re.search(pattern("a ~3 b"), "a12b") and not re.search(pattern("a ~3 b"), "a1234b") and not re.search(pattern("a ~3 b"), "a.b")
+    assert re.fullmatch(pattern("a ..2 b"), "a x y b") and not re.fullmatch(pattern("a ..2 b"), "a x y z b")
+    assert re.fullmatch(pattern("x {l}", {"l": ["p q", "r.s"]}), "x r.s") and not re.fullmatch(pattern("{l}", {"l": ["r.s"]}), "rxs")
+
+
+def test_teasers(spark):
+    df = spark.createDataFrame([("a\nSimak juga video: basi\n\nb",), ("Baca juga: c\na",), ("tidak juga",), (None,)], "t string")
+    assert [r[0] for r in df.select(T.drop_teasers(F.col("t"))).collect()] == ["a\n\nb", "a", "tidak juga", None]
 
 
 def test_evaluation(spark):
     df = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("b", "b")], "x string, y string")
     assert abs(E.kappa(df, "x", "y").collect()[0].kappa - 0.5) < 1e-9
-    table = spark.createDataFrame([("flagged", 10, 9, 100), ("unflagged", 20, 1, 200)], "role string, n int, k int, pool int")
+    table = spark.createDataFrame([("a", "flagged", 10, 9, 100), ("b", "unflagged", 20, 1, 200)], "stratum string, role string, n int, k int, pool int")
     r = E.recall(table).collect()[0]
     assert abs(r.recall - 90 / 100) < 1e-9 and r.recall_worst < r.recall
     b = E.bootstrap_recall(table, 200).collect()[0]
@@ -120,7 +156,22 @@ def test_places_named(spark):
 def test_all_classes(spark):
     said = {
         "mech_denial": "Bukan karena MBG", "sym_sakit_perut": "Perut melilit", "care_inpatient": "Dilarikan ke rumah sakit", "resp_halted": "SPPG itu dibekukan", "resp_outbreak": "Status KLB", "resp_national_agency": "Badan Gizi Nasional",
-        "resp_bpom": "Badan Pengawas Obat", "resp_certificate": "Sertifikat laik higiene", "resp_legislators": "Anggota dewan", "resp_programme_halt": "Setop sementara MBG",
+        "resp_bpom": "Badan Pengawas Obat", "resp_certificate": "Sertifikat laik higiene", "resp_legislators": "Anggota dewan", "resp_programme_halt": "Setop sementara MBG", "suspect_ayam": "Ayam itu basi", "mech_pathogen": "E. coli",
     }
-    df = spark.createDataFrame(list(said.items()), "name string, text string").select("name", *V.full_indicators(F.col("text")))
-    assert all(r[r.name] for r in df.collect()) and df.count() == 10
+    df = spark.createDataFrame(list(said.items()), "name string, text string")
+    df = df.select("name", *X.coded(F.lit(None).cast("string"), F.col("text"), T.sentences(F.col("text"))))
+    assert all(r[r.name] for r in df.collect()) and df.count() == 12 and len(df.columns) == 52
+
+
+def test_bootstrap_of_many_strata(spark):
+    few = spark.createDataFrame([("a", "flagged", 50, 45, 900), ("b", "unflagged", 50, 5, 900)], "stratum string, role string, n int, k int, pool int")
+    many = spark.range(10_001).select(F.concat(F.lit("s"), "id").alias("stratum"), F.lit("unflagged").alias("role"), F.lit(4).alias("n"), F.lit(4).alias("k"), F.lit(1).alias("pool"))
+    one, all_ = E.bootstrap_recall(few, 300).collect()[0], E.bootstrap_recall(few.unionByName(many), 300).collect()[0]
+    assert one.low < 0.9 < one.high and all_.high < 0.1  # each of the 10,001 adds a miss
+
+
+def test_numbered_in_blocks(spark):
+    df = spark.range(1000).withColumn("g", F.when(F.col("id") % 3 == 0, "a").otherwise("b"))
+    got = L.numbered(df, "g", ["id"], F.format_string("%05d", F.floor(F.col("id") / 7)))
+    want = df.withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy("id")))
+    assert got.select("id", "k").exceptAll(want.select("id", "k")).isEmpty() and got.count() == 1000
