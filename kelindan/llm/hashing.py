@@ -11,12 +11,16 @@ _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
 class WordHashes(dict):
-    """64-bit hashes of words; those seen are kept, up to a bound, as texts repeat their words."""
+    """64-bit hashes of words, of one seed; those seen are kept, up to a bound, as texts repeat their words."""
+
+    def __init__(self, seed: int = 0) -> None:
+        super().__init__()
+        self.seed = seed
 
     def __missing__(self, word: str) -> int:
         if len(self) > 500_000:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
         return h
 
     def of(self, words: list[str]) -> np.ndarray:
