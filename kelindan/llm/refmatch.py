@@ -1,8 +1,8 @@
 """Mapping freely typed values to a reference list.
 
-The entries, other names included, form one trie; a typed value is looked up by running a Levenshtein automaton (one row of edit
-distances per trie node, cut off where the least of the row exceeds the bound) down the trie, so that all entries within the distance come out
-without comparing the value to each. Values are matched once per distinct spelling, however many rows carry it.
+The entries, other names included, form one trie; a typed value is looked up by running its Levenshtein automaton down the trie, so that all entries within the
+distance come out without comparing the value to each. The automaton is compiled to one bit mask a letter; its state is one set of positions, as bits of a
+number, for each count of edits, so a step is a few operations on numbers, whatever the length. Values are searched once per distinct spelling, however many rows carry it.
 """
 
 from __future__ import annotations
@@ -10,10 +10,10 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kelindan.session import keep
@@ -73,37 +73,48 @@ def read_typed(text: str, provinces: set[str]) -> Typed:
     return Typed(kind, "".join(SHORT_FORMS.get(w, w) if len(rest) > 1 else w for w in rest))
 
 
-@dataclass
-class Node:
-    next: dict[str, "Node"] = field(default_factory=dict)
-    entries: list[int] = field(default_factory=list)
-
-
 class Trie:
-    """A trie of names; ``search`` returns (distance, entry) of every name within ``most`` edits."""
+    """A trie of names; ``search`` returns (distance, entry) of every name within ``most`` edits, the least distance of each entry."""
 
     def __init__(self, names: list[tuple[str, int]]) -> None:
-        self.root = Node()
+        self.next: list[dict[str, int]] = [{}]
+        self.entries: list[list[int]] = [[]]
         for name, entry in names:
-            node = self.root
+            node = 0
             for c in name:
-                node = node.next.setdefault(c, Node())
-            node.entries.append(entry)
+                if c not in self.next[node]:
+                    self.next[node][c] = len(self.next)
+                    self.next.append({})
+                    self.entries.append([])
+                node = self.next[node][c]
+            self.entries[node].append(entry)
+        self.steps = [list(n.items()) for n in self.next]
 
     def search(self, word: str, most: int) -> list[tuple[int, int]]:
+        accept = 1 << len(word)
+        inside = 2 * accept - 1
+        masks: dict[str, int] = {}
+        for i, c in enumerate(word):
+            masks[c] = masks.get(c, 0) | 1 << i
+        letter, steps, entries = masks.get, self.steps, self.entries
         found: dict[int, int] = {}
-        n, stack = len(word), [(self.root, list(range(len(word) + 1)))]
+        # Bit i of the e-th set: the first i letters of the word are read with e edits at most.
+        stack = [(0, [(2 << e) - 1 & inside for e in range(most + 1)])]
         while stack:
-            node, row = stack.pop()
-            if node.entries and row[n] <= most:
-                for e in node.entries:
-                    found[e] = min(found.get(e, most), row[n])
-            for c, child in node.next.items():
-                new, left = [row[0] + 1], row[0] + 1
-                for i in range(1, n + 1):
-                    left = min(left + 1, row[i] + 1, row[i - 1] + (word[i - 1] != c))
-                    new.append(left)
-                if min(new) <= most:
+            node, state = stack.pop()
+            if entries[node] and state[most] & accept:
+                d = next(e for e in range(most + 1) if state[e] & accept)
+                for e in entries[node]:
+                    found[e] = min(found.get(e, d), d)
+            for c, child in steps[node]:
+                m = letter(c, 0)
+                now = (state[0] & m) << 1
+                new = [now]
+                for e in range(1, most + 1):
+                    fewer = state[e - 1]
+                    now = ((state[e] & m) << 1 | fewer | (fewer | now) << 1) & inside
+                    new.append(now)
+                if now:
                     stack.append((child, new))
         return sorted((d, e) for e, d in found.items())
 
@@ -121,6 +132,60 @@ def two_edits(name: str) -> int:
     return 2
 
 
+@dataclass
+class Lookup:
+    """A reference list ready to be searched: what each entry is, and a trie of names for each type word and for none."""
+
+    entries: list[tuple[str, str, str, str]]
+    provinces: set[str]
+    places: list[str]
+    tries: dict[str, Trie]
+
+    @classmethod
+    def of(cls, entries: list[tuple[str, str, str, str]]) -> "Lookup":
+        places = [" ".join(words(p)) for *_, p in entries]
+        kinds, names = [], []
+        for k, (_, name, others, _) in enumerate(entries):
+            own = read_typed(name, set())
+            kinds.append(own.kind)
+            names += [(n, k) for n in {own.name, *(read_typed(o, set()).name for o in others.split(";"))} if n]
+        return cls(entries, set(places) - {""}, places, {kind: Trie([(n, k) for n, k in names if not kind or kinds[k] == kind]) for kind in {"", *kinds}})
+
+    def within(self, typed: str, allowed: Callable[[str], int], every: bool) -> list[tuple[int, int]]:
+        """(distance, entry) of the entries meant: ``every`` one within the distance allowed, or the nearest."""
+        t = read_typed(typed, self.provinces)
+        if not t.name or t.kind not in self.tries:
+            return []
+        return self.tries[t.kind].search(t.name, allowed(t.name)) if every else nearest(self.tries[t.kind], t.name, allowed(t.name))
+
+
+def _listed(reference: DataFrame, most_entries: int) -> list[tuple[str, str, str, str]]:
+    listed = reference.select("code", "name", "other_names", "province").limit(most_entries + 1).collect()
+    if len(listed) > most_entries:
+        raise ValueError(f"the reference list has more than {most_entries} entries")
+    return sorted({(r.code, r.name, r.other_names or "", r.province or "") for r in listed if r.code and r.name})
+
+
+def _typed(rows: DataFrame, value: str, region: Column, values_per_task: int) -> DataFrame:
+    """Distinct non-blank values and regions, the regions of a value side by side in one task. A spelling is few bytes but much work: tasks are cut by number of spellings."""
+    typed = rows.where(F.col(value).rlike(r"[^\s\x85   -     　﻿]")).select(F.col(value).alias("value"), region.alias("region")).distinct()
+    typed = keep(typed, "typed")
+    return typed.repartition(max(1, -(-typed.count() // values_per_task)), "value").sortWithinPartitions("value")
+
+
+def entries_within(rows: DataFrame, value: str, reference: DataFrame, allowed: Callable[[str], int] = two_edits, most_entries: int = 200_000, values_per_task: int = 2_000) -> DataFrame:
+    """(value, code, distance): every entry within the distance allowed of every distinct non-blank value, the type words agreeing; as ``match_reference`` otherwise."""
+    shared = rows.sparkSession.sparkContext.broadcast(_listed(reference, most_entries))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lookup = Lookup.of(shared.value)
+        for pdf in batches:
+            out = [(v, lookup.entries[e][0], d) for v in pdf["value"] for d, e in lookup.within(v, allowed, True)]
+            yield pd.DataFrame(out, columns=["value", "code", "distance"])
+
+    return _typed(rows, value, F.lit(None).cast("string"), values_per_task).mapInPandas(search, "value string, code string, distance int")
+
+
 def match_reference(
     rows: DataFrame,
     value: str,
@@ -137,34 +202,19 @@ def match_reference(
     for the length of a bare name. The list goes to every task, so it must have at most ``most_entries`` rows, else a ``ValueError`` says so:
     a longer one is no list of places or brands. Null entries are skipped; an empty list maps everything to ``none``.
     """
-    listed = reference.select("code", "name", "other_names", "province").limit(most_entries + 1).collect()
-    if len(listed) > most_entries:
-        raise ValueError(f"the reference list has more than {most_entries} entries")
-    entries = sorted({(r.code, r.name, r.other_names or "", r.province or "") for r in listed if r.code and r.name})
-    shared = rows.sparkSession.sparkContext.broadcast(entries)
+    shared = rows.sparkSession.sparkContext.broadcast(_listed(reference, most_entries))
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        entries = shared.value
-        provinces = {" ".join(words(p)) for *_, p in entries} - {""}
-        kinds, names = [], []
-        for k, (_, name, others, _) in enumerate(entries):
-            own = read_typed(name, set())
-            kinds.append(own.kind)
-            names += [(n, k) for n in {own.name, *(read_typed(o, set()).name for o in others.split(";"))} if n]
-        tries = {kind: Trie([(n, k) for n, k in names if not kind or kinds[k] == kind]) for kind in {"", *kinds}}
+        lookup, last, hits = Lookup.of(shared.value), None, []
         for pdf in batches:
             out = []
             for typed, where in zip(pdf["value"], pdf["region"]):
-                t = read_typed(typed, provinces)
-                hits = nearest(tries[t.kind], t.name, allowed(t.name)) if t.name and t.kind in tries else []
-                here = " ".join(words(where or ""))
-                best = min(((d, " ".join(words(entries[e][3])) != here, entries[e][0]) for d, e in hits), default=None)
+                if typed != last:
+                    last, hits = typed, lookup.within(typed, allowed, False)
+                here = " ".join(words(where or "")) if len(hits) > 1 else ""
+                best = min(((d, lookup.places[e] != here, lookup.entries[e][0]) for d, e in hits), default=None)
                 out.append(best[2] if best else "none")
             yield pdf.assign(code=out)
 
     place = F.col(region).cast("string") if region else F.lit(None).cast("string")
-    typed = rows.where(F.col(value).rlike(r"[^\s\x85   -     　﻿]")).select(F.col(value).alias("value"), place.alias("region")).distinct()
-    # A spelling is few bytes but much work: tasks are cut by number of spellings, not by bytes.
-    typed = keep(typed, "typed")
-    typed = typed.repartition(max(1, -(-typed.count() // values_per_task)))
-    return typed.mapInPandas(match, "value string, region string, code string")
+    return _typed(rows, value, place, values_per_task).mapInPandas(match, "value string, region string, code string")
