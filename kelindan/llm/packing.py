@@ -3,13 +3,14 @@
 Every item goes to the fill level that makes the sum of the squared counts of partly filled containers smallest; a level array holds how
 many open containers there are of each fill, so a placement costs one look at the levels and never at the containers. Only items above the capacity
 are cut, into full containers and a rest. Items are packed in bounded runs side by side; what each run leaves open meets in further rounds, as
-items of their fill, until one run holds all that is open or a round closes nothing more.
+items of their fill, until one run holds all that is open or a round puts no two of them together.
 """
 
 from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -52,12 +53,13 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return container, offset, np.asarray(fills, dtype=np.int64)
 
 
-def pack(items: DataFrame, item: str, size: str, capacity: int, items_per_run: int = 200_000, rounds: int = 4) -> DataFrame:
+def pack(items: DataFrame, item: str, size: str, capacity: int, items_per_run: int = 50_000) -> DataFrame:
     """(item, piece, start, length, container, offset): where every piece of every item lies.
 
     An item up to ``capacity`` is one piece; a longer one is cut at multiples of ``capacity``, each full piece a container of its own. Null and
     zero sizes take no room and get no row; negative sizes raise. Repeated rows are items of their own. Containers are named by strings that
-    say nothing about order.
+    say nothing about order. A run leaves open a number of containers that depends on the capacity rather than on its items, so each round has far fewer units
+    than the one before; ``items_per_run`` bounds what a task holds and how much runs side by side.
     """
     items = keep(items.select(F.col(item).alias("item"), F.col(size).cast("long").alias("size")), "items")
     if not items.where("size < 0").isEmpty():
@@ -69,7 +71,7 @@ def pack(items: DataFrame, item: str, size: str, capacity: int, items_per_run: i
     units = cut.where(F.col("length") < capacity).select(F.concat(F.lit("p"), "row").alias("unit"), F.col("length").alias("size"))
     placed = units.select("unit", F.col("unit").alias("container"), F.lit(0).cast("long").alias("offset"))
     n = units.count()
-    for k in range(rounds):
+    for k in count():
         runs = max(1, -(-n // items_per_run))
         shuffled = units.withColumn("run", F.pmod(F.xxhash64("unit", F.lit(k)), F.lit(runs)).cast("int")).repartition(runs, "run")
         put = keep(shuffled.mapInPandas(_runner(k, capacity), "unit string, container string, base long, fill long"), f"round{k}")
@@ -77,7 +79,7 @@ def pack(items: DataFrame, item: str, size: str, capacity: int, items_per_run: i
         placed = keep(moved.select("unit", F.coalesce("container", "unit0").alias("container"), (F.col("offset") + F.coalesce("base", F.lit(0))).alias("offset")), f"placed{k}")
         units = put.where(F.col("fill") < capacity).select(F.col("container").alias("unit"), F.col("fill").alias("size")).distinct()
         left = units.count()
-        if runs == 1 or left > 0.9 * n:
+        if runs == 1 or left == n:
             break
         n = left
     rest = cut.where(F.col("length") < capacity).withColumn("unit", F.concat(F.lit("p"), "row")).join(placed, "unit").select("item", "piece", "start", "length", "container", "offset")
