@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
 from pathlib import Path
@@ -102,11 +102,10 @@ def _bucket(x: float, bounds: tuple) -> int:
     return sum(x > b for b in bounds)
 
 
-def features(units: list, title: str, domain: str | None) -> list[list[str]]:
-    """Names of the features of every unit, in reading order."""
+def features(units: list, title: str, domain: str | None) -> Iterator[list[str]]:
+    """Names of the features of every unit, in reading order, one unit at a time: only five units' are held at once."""
     site = max(_SITE.findall((domain or "").split(".")[0].lower()), key=len, default="")
     head = " ".join(title.split()).lower()
-    own: list[list[str]] = []
     groups: dict[str, int] = {}
     keys = []
     for _, text, _, stack, _ in units:
@@ -116,7 +115,9 @@ def features(units: list, title: str, domain: str | None) -> list[list[str]]:
         if _END.search(text):
             groups[key] = groups.get(key, 0) + len(text)
     total = sum(groups.values()) or 1
-    for (_, text, linked, stack, breaks), key in zip(units, keys):
+
+    def of(k: int) -> list[str]:
+        (_, text, linked, stack, breaks), key = units[k], keys[k]
         low = text.lower()
         f = [
             f"len{_bucket(len(text), (8, 20, 40, 80, 160, 320, 640))}",
@@ -142,19 +143,26 @@ def features(units: list, title: str, domain: str | None) -> list[list[str]]:
             f += [f"tag={t}" for t in {t for t, _ in stack}] + [f"class={c}" for c in {c for _, c in stack if c}]
             f += [f"leaf={key}", f"share{_bucket(groups.get(key, 0) / total, (0.0, 0.1, 0.3, 0.6))}", f"br{min(2, breaks)}"]
             f += [f"inline={stack[-1][0]}"] * (stack[-1][0] in _INLINE)
-        own.append(f)
-    out = []
-    for k, f in enumerate(own):
+        return f
+
+    own = {k: of(k) for k in range(min(2, len(units)))}
+    for k in range(len(units)):
+        if k + 2 < len(units):
+            own[k + 2] = of(k + 2)
+        own.pop(k - 3, None)
         near = ["bias"]
         for d in (-2, -1, 1, 2):
-            if 0 <= k + d < len(own):
+            if 0 <= k + d < len(units):
                 near += [f"{d}:{x}" for x in own[k + d][:5]] + [f"{d}:{x}" for x in own[k + d][6:8] if x in ("site", "title", "user")]
                 if keys[k + d] == keys[k]:
                     near.append(f"{d}:same")
             else:
                 near.append(f"{d}:edge")
-        out.append(f + near)
-    return out
+        yield own[k] + near
+
+
+#: Steps of sequences that are decoded side by side, padded ones counted.
+MOST_STEPS = 1 << 18
 
 
 class Chain:
@@ -163,23 +171,35 @@ class Chain:
     def __init__(self, names: dict[str, int], weights: np.ndarray, steps: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
         self.names, self.weights, self.steps, self.first, self.last = names, weights, steps, first, last
 
-    def scores(self, rows: list[list[str]]) -> np.ndarray:
-        get, w = self.names.get, self.weights
-        return np.array([w[[i for f in row if (i := get(f)) is not None]].sum(axis=0) for row in rows])
+    def scores(self, rows: Iterable[list[str]], n: int) -> np.ndarray:
+        """What each label scores at each of ``n`` units by its own features."""
+        get, w, out = self.names.get, self.weights, np.zeros((n, len(LABELS)))
+        for k, row in enumerate(rows):
+            out[k] = w[[i for f in row if (i := get(f)) is not None]].sum(axis=0)
+        return out
+
+    def decode(self, scores: list[np.ndarray]) -> list[np.ndarray]:
+        """Viterbi over all sequences, those of about one length side by side: what is held grows with the units there are, however long one sequence is."""
+        out: list[np.ndarray] = [np.zeros(0, dtype=np.int8)] * len(scores)
+        order = sorted((k for k in range(len(scores)) if len(scores[k])), key=lambda k: len(scores[k]))
+        while order:
+            longest, many = len(scores[order[-1]]), 1
+            while many < len(order) and (many + 1) * longest <= MOST_STEPS:
+                many += 1
+            batch, order = order[-many:], order[:-many]
+            for k, path in zip(batch, self._decode([scores[k] for k in batch])):
+                out[k] = path
+        return out
 
-    def decode(self, sequences: list[list[list[str]]]) -> list[np.ndarray]:
-        """Viterbi over all sequences side by side."""
-        if not sequences:
-            return []
-        lengths = np.array([len(s) for s in sequences])
-        n, t = len(sequences), int(lengths.max())
+    def _decode(self, scores: list[np.ndarray]) -> list[np.ndarray]:
+        lengths = np.array([len(s) for s in scores])
+        n, t = len(scores), int(lengths.max())
         e = np.zeros((n, t, len(LABELS)))
-        for k, s in enumerate(sequences):
-            if len(s):
-                e[k, : len(s)] = self.scores(s)
-                e[k, len(s) - 1] += self.last
-        best, back = e[:, 0] + self.first if t else e[:, :0], np.zeros((n, t, len(LABELS)), dtype=np.int8)
-        ends = best.copy() if t else None
+        for k, s in enumerate(scores):
+            e[k, : len(s)] = s
+            e[k, len(s) - 1] += self.last
+        best, back = e[:, 0] + self.first, np.zeros((n, t, len(LABELS)), dtype=np.int8)
+        ends = best.copy()
         for i in range(1, t):
             way = best[:, :, None] + self.steps[None]
             back[:, i] = way.argmax(axis=1)
@@ -188,10 +208,9 @@ class Chain:
         out = []
         for k, length in enumerate(lengths):
             path = np.zeros(length, dtype=np.int8)
-            if length:
-                path[-1] = ends[k].argmax()
-                for i in range(length - 1, 0, -1):
-                    path[i - 1] = back[k, i, path[i]]
+            path[-1] = ends[k].argmax()
+            for i in range(length - 1, 0, -1):
+                path[i - 1] = back[k, i, path[i]]
             out.append(path)
         return out
 
@@ -292,12 +311,12 @@ def body_lines(rows: DataFrame, rec: str, content: str, domain: str, title: str
         for batch in batches:
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
-                sequences, numbers = [], []
+                scores, numbers = [], []
                 for text, site, name in zip(*(part.column(c).to_pylist() for c in (1, 2, 3))):
                     head, units = page_units(text) if kind == "page" else (name or "", text_units(text))
-                    sequences.append(features(units, head, site))
+                    scores.append(model.scores(features(units, head, site), len(units)))
                     numbers.append(np.array([u[0] for u in units], dtype=np.int32))
-                lines = [no[path == BODY] for no, path in zip(numbers, model.decode(sequences))]
+                lines = [no[path == BODY] for no, path in zip(numbers, model.decode(scores))]
                 of = np.repeat(np.arange(part.num_rows), [len(x) for x in lines])
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), pa.array(np.concatenate(lines) if lines else np.zeros(0, np.int32))], ["r", "line_no"])
 

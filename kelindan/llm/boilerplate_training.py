@@ -56,16 +56,16 @@ def sample(data: str, most: int) -> dict[str, list[tuple[list, np.ndarray]]]:
     out: dict[str, list] = {"page": [], "doc": []}
     for p in sorted((p for p in pages if p["html"]), key=lambda p: spread(p["page_id"]))[:most]:
         title, units = page_units(p["html"])
-        out["page"].append((features(units, title, p["domain"]), label_page(units)))
+        out["page"].append((list(features(units, title, p["domain"])), label_page(units)))
     for d in sorted((d for d in docs if d["text"]), key=lambda d: spread(d["doc_id"]))[:most]:
         units = text_units(d["text"])
-        out["doc"].append((features(units, d["title"] or "", d["domain"]), label_text(units)))
+        out["doc"].append((list(features(units, d["title"] or "", d["domain"])), label_text(units)))
     return out
 
 
 def score(model: Chain, rows: list[tuple[list, np.ndarray]]) -> tuple[float, float]:
     """Precision and recall of body lines."""
-    paths = model.decode([f for f, _ in rows])
+    paths = model.decode([model.scores(f, len(f)) for f, _ in rows])
     found = sum(int((p == BODY).sum()) for p in paths)
     true = sum(int((y == BODY).sum()) for _, y in rows)
     both = sum(int(((p == BODY) & (y == BODY)).sum()) for p, (_, y) in zip(paths, rows))
