@@ -10,6 +10,7 @@ Two ways to choose, both in aggregates that combine before they shuffle, so that
 from __future__ import annotations
 
 import math
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,7 +76,8 @@ def fuse_fields(
     record: str,
     source: str,
     fields: list[str],
-    rounds: int = 3,
+    tolerance: float = 0.002,
+    most_rounds: int = 50,
     false_values: int = 20,
     prior_accuracy: float = 0.8,
     copy_rate: float = 0.8,
@@ -83,7 +85,7 @@ def fuse_fields(
 ) -> DataFrame:
     """(group, field, value, posterior, votes): for every group and field the value of maximum posterior, ties by smallest value.
 
-    Claims are (group, field, source, value); a source that claims several values in one group votes for each. Votes are counted
+    Rounds go on until no source's accuracy moves by more than ``tolerance``; a fusion that has not settled after ``most_rounds`` raises. Claims are (group, field, source, value); a source that claims several values in one group votes for each. Votes are counted
     once per source, so what is compared is bounded by the number of sources, not of rows. Each round scores a value by the sum of its
     sources' log odds ``ln(n A / (1 - A))``, each vote discounted by the chance that it was copied, turns scores into posteriors over
     the values claimed in the group, and takes a source's accuracy as the mean posterior of its claims. Dependence of two sources follows
@@ -108,7 +110,7 @@ def fuse_fields(
     acc = claims.select("s").distinct().select("s", F.lit(prior_accuracy).alias("a"))
     own = None
     n = float(false_values)
-    for k in range(rounds):
+    for k in count():
         scored = claims.join(acc, "s")
         scored = scored.withColumn("w", F.lit(1.0)) if own is None else scored.join(own, ["set", "s"], "left")
         scored = scored.withColumn("vote", F.log(F.lit(n) * F.col("a") / (1 - F.col("a"))) * F.coalesce("w", F.lit(1.0)))
@@ -118,10 +120,14 @@ def fuse_fields(
         mass = joined.groupBy("g", "f").agg((F.sum("e") + F.greatest(F.lit(0.0), F.lit(n) - F.max("kinds") + 1) * F.exp(-F.max("top"))).alias("z"))
         posterior = joined.join(mass, ["g", "f"]).select("g", "f", "v", "votes", "set", F.round(F.col("e") / F.col("z"), 9).alias("p"))
         posterior = keep(posterior, f"posterior{k}")
-        if k + 1 == rounds:
-            break
         judged = claims.join(posterior.drop("set"), ["g", "f", "v"])
-        acc = keep(judged.groupBy("s").agg(F.least(F.lit(0.99), F.greatest(F.lit(0.05), F.avg("p"))).alias("a")), f"accuracy{k}")
+        judged = judged.groupBy("s").agg(F.least(F.lit(0.99), F.greatest(F.lit(0.05), F.avg("p"))).alias("new"))
+        moved = keep(acc.join(judged, "s").select("s", F.col("new").alias("a"), F.abs(F.col("new") - F.col("a")).alias("by")), f"accuracy{k}")
+        if k and (moved.agg(F.max("by")).first()[0] or 0.0) <= tolerance:
+            break
+        if k == most_rounds:
+            raise RuntimeError(f"the accuracies of sources have not settled after {most_rounds} rounds")
+        acc = moved.select("s", "a")
         dependence = keep(_dependence(posterior, sets, common, acc, n, copy_rate, prior_dependence), f"dependence{k}")
         own = keep(_independence(sets, dependence, copy_rate), f"own{k}")
     best = posterior.groupBy("g", "f").agg(F.min(F.struct((-F.col("p")).alias("q"), "v", "votes")).alias("b"))
