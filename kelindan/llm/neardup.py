@@ -28,6 +28,8 @@ _RNG = np.random.default_rng(20240607)
 _A = (_RNG.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * 2 + 1).astype(np.uint32)[:, None]
 _B = _RNG.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)[:, None]
 _WORD = re.compile(r"\w+")
+#: Ids of up to this number, of 20 bytes on average, are broadcast.
+MOST_IDS = 1_000_000
 
 
 def words_of(text: str) -> list[str]:
@@ -136,9 +138,10 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", th
     left = reps.select(F.col("d").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
     right = reps.select(F.col("d").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
     likely = keep(pairs.join(left, "a").join(right, "b").mapInArrow(_estimated(threshold - slack), f"a {kind}, b {kind}"), "likely")
-    # Only texts of likely pairs are shingled again; their ids are a few bytes a row, and are broadcast up to a checked number of them.
+    # Only texts of likely pairs are shingled again; their ids are broadcast up to a checked number and size of them.
     needed = keep(likely.select(F.col("a").alias("d")).union(likely.select("b")).distinct(), "needed")
-    few = F.broadcast(needed) if needed.count() <= 1_000_000 else needed
+    size = needed.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.col("d").cast("string"))), F.lit(0)).alias("bytes")).first()
+    few = F.broadcast(needed) if size.n <= MOST_IDS and size.bytes <= 20 * MOST_IDS else needed
     sets = docs.select(F.col(doc).alias("d"), F.col(text).alias("t")).join(few, "d", "left_semi").mapInArrow(_sets(k), f"d {kind}, s binary").dropDuplicates(["d"])
     sets = keep(sets, "sets")
     left, right = sets.select(F.col("d").alias("a"), F.col("s").alias("sa")), sets.select(F.col("d").alias("b"), F.col("s").alias("sb"))

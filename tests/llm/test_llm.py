@@ -50,7 +50,7 @@ def test_fusion_discounts_copies(spark):
         for s in ("bad", "copy1", "copy2", "copy3"):
             data.append((f"g{g}", f"{s}-{g}", s, f"false{g}" if g % 2 or g >= 30 else f"true{g}"))
     df = spark.createDataFrame(data, "g string, id string, s string, v string")
-    out = survivors.fuse_fields(df, "g", "id", "s", ["v"], rounds=4)
+    out = survivors.fuse_fields(df, "g", "id", "s", ["v"])
     assert all(r.value.startswith("true") for r in out.collect()) and out.count() == 36
     empty = survivors.fuse_fields(df.limit(0), "g", "id", "s", ["v"])
     assert empty.count() == 0
@@ -65,7 +65,7 @@ def test_fusion_counts_values_of_many_sources(spark):
         for k in range(10):
             data.append((f"g{g}", f"c{k}-{g}", f"c{k}", f"false{g}" if g % 2 or g >= 30 else f"true{g}"))
     df = spark.createDataFrame(data, "g string, id string, s string, v string")
-    out = survivors.fuse_fields(df, "g", "id", "s", ["v"], rounds=4)
+    out = survivors.fuse_fields(df, "g", "id", "s", ["v"])
     assert all(r.value.startswith("true") for r in out.collect()) and out.count() == 33
 
 
@@ -80,7 +80,7 @@ def test_fusion_keeps_votes_of_independent_sources(spark):
             plain.add(f"g{g}")
     assert any(r[2] == "best" and r[3] != "true" for r in data if r[0] in plain)
     df = spark.createDataFrame(data, "g string, id string, s string, v string")
-    out = {r.g: r.value for r in survivors.fuse_fields(df, "g", "id", "s", ["v"], rounds=4).collect()}
+    out = {r.g: r.value for r in survivors.fuse_fields(df, "g", "id", "s", ["v"]).collect()}
     assert all(out[g] == "true" for g in plain)
 
 
@@ -210,18 +210,29 @@ def test_reference(spark):
         refmatch.match_reference(df, "v", ref, most_entries=2)
 
 
+def test_entries_within(spark):
+    ref = spark.createDataFrame([("1", "Kota Melati", "Melatu", "X"), ("2", "Kota Melita", None, "X"), ("3", "Kota Mawar", None, "X")], "code string, name string, other_names string, province string")
+    df = spark.createDataFrame([("melati",), ("melati",), ("Kota Melatia",), (None,)], "v string")
+    assert rows(refmatch.entries_within(df, "v", ref)) == [("Kota Melatia", "1", 1), ("Kota Melatia", "2", 2), ("melati", "1", 0), ("melati", "2", 2)]
+    by_length = lambda name: 1 if len(name) < 7 else 2
+    assert rows(refmatch.entries_within(df, "v", ref, by_length)) == [("Kota Melatia", "1", 1), ("Kota Melatia", "2", 2), ("melati", "1", 0)]
+
+
 # --- house lines -------------------------------------------------------------------------------------------------------
 
 
-def test_house_lines(spark):
+def test_house_lines(spark, monkeypatch):
     docs = [(i, f"Isi {i}\n  HAK  Cipta \n\nIsi {i}\nhak cipta", "a", 1) for i in range(5)] + [(9, "Hak cipta", "b", 1), (10, "hak cipta", None, 1), (11, None, "a", 1), (12, "", "a", 1)]
     df = spark.createDataFrame([(*d[:3], "x") for d in docs + docs[:1]], "doc_id long, text string, domain string, line string")
-    for cells in (1 << 22, 2):
-        found = houselines.repeated_lines(df, cells=cells)
-        assert rows(found) == sorted([(i, n) for i in range(5) for n in (1, 4)], key=repr)
+    found = houselines.repeated_lines(df)
+    assert rows(found) == sorted([(i, n) for i in range(5) for n in (1, 4)], key=repr)
     kept = {r.doc_id: r.text for r in houselines.drop_lines(df.dropDuplicates(["doc_id"]), found).collect()}
     assert kept[0] == "Isi 0\n\nIsi 0" and kept[9] == "Hak cipta" and kept[11] is None and kept[12] == ""
-    assert houselines.repeated_lines(df.limit(0)).count() == 0
+    assert houselines.repeated_lines(df.limit(0)).count() == 0 and houselines.remove_house_lines(df.limit(0)).columns == df.columns
+    want = rows(houselines.drop_lines(df, found))
+    assert rows(houselines.remove_house_lines(df), *df.columns) == rows(houselines.drop_lines(df, found), *df.columns) and want
+    monkeypatch.setattr(houselines, "MOST_BROADCAST", 0)  # sets beyond the bound are joined
+    assert rows(houselines.repeated_lines(df)) == rows(found) and rows(houselines.remove_house_lines(df), *df.columns) == rows(houselines.drop_lines(df, found), *df.columns)
 
 
 # --- tokens and containers ---------------------------------------------------------------------------------------------
@@ -277,6 +288,13 @@ def test_packing(spark, per_run):
         packing.pack(spark.createDataFrame([(1, -1)], "item int, n int"), "item", "n", 100)
 
 
+def test_packing_in_many_runs(spark):
+    rng = random.Random(9)
+    sizes = [(i, rng.choice([rng.randint(1, 2000), rng.randint(20, 600)])) for i in range(16_000)]
+    out = packing.pack(spark.createDataFrame(sizes, "item int, n int"), "item", "n", 2048, items_per_run=2_000).collect()  # 8 runs, then those of what they leave open
+    assert sum(n for _, n in sizes) / 2048 / check_packing(out, sizes, 2048) > 0.98
+
+
 def test_filter(spark):
     rng = np.random.default_rng(2)
     keys, others = rng.integers(0, 1 << 64, 3000, dtype=np.uint64), rng.integers(0, 1 << 64, 50_000, dtype=np.uint64)
@@ -300,12 +318,15 @@ def brute_spans(data, span):
     out = set()
     for i, w in words.items():
         mask = np.array([len(where[tuple(w[k : k + span])]) > 1 for k in range(max(0, len(w) - span + 1))], dtype=bool)
-        out |= {(i, s, e) for s, e in spans._stretches(mask, span)}
+        starts = np.nonzero(mask)[0]
+        if len(starts):
+            new = np.r_[True, np.diff(starts) > span]
+            out |= {(i, int(s), int(e) + span) for s, e in zip(starts[new], starts[np.r_[new[1:], True]])}
     return out
 
 
 @pytest.mark.parametrize("seed", range(3))
-@pytest.mark.parametrize("shards, cuts, bits", [(100_000, 50_000, 26), (5, 4, 17)])
+@pytest.mark.parametrize("shards, cuts, bits", [(100_000, 1 << 20, 26), (5, 400, 17), (100_000, 400, 20)])
 def test_shared_spans(spark, seed, shards, cuts, bits):
     rng = random.Random(seed)
     word = lambda: rng.choice("abcdefgh") + str(rng.randint(0, 40))
@@ -319,10 +340,19 @@ def test_shared_spans(spark, seed, shards, cuts, bits):
         data.append((i, rng.choice([" ", "\n", "  \t"]).join(t)))
     data += [(90, None), (91, ""), (None, data[0][1]), (92, " ".join(["la"] * 50)), (93, " ".join(["ya"] * 30 + ["la"] * 20))]
     df = spark.createDataFrame([(i, t, 0) for i, t in data] + [(*data[1], 0)], "doc_id long, text string, at int")
-    got = rows(spans.shared_spans(df, span=12, phrase=5, phrases_per_shard=shards, stretches_per_task=cuts, bits=bits))
+    got = rows(spans.shared_spans(df, span=12, phrase=5, phrases_per_shard=shards, bytes_per_task=cuts, bits=bits))
     assert len(got) == len(set(got)) and set(got) == brute_spans(data, 12)
 
 
+def test_shared_spans_of_one_long_text(spark):
+    rng = random.Random(4)
+    long = [f"w{rng.randint(0, 5_000)}" for _ in range(50_000)]
+    docs = [(1, " ".join(long)), (2, "x y " + " ".join(long[:-3])), (3, " ".join(long[::-1][:900]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for shards in (100_000, 100):
+        assert rows(spans.shared_spans(df, phrases_per_shard=shards)) == [(1, 0, 49_997), (2, 2, 49_999)]
+
+
 def test_shared_spans_empty(spark):
     assert spans.shared_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -348,12 +378,22 @@ def test_viterbi_is_the_best_path():
     chain = boilerplate.Chain({f"f{k}": k for k in range(6)}, rng.normal(size=(6, 4)), rng.normal(size=(4, 4)), rng.normal(size=4), rng.normal(size=4))
     for n in (0, 1, 2, 5):
         s = [[f"f{rng.integers(6)}", f"f{rng.integers(6)}"] for _ in range(n)]
-        e = chain.scores(s) if n else np.zeros((0, 4))
+        e = chain.scores(s, n)
         value = lambda p: chain.first[p[0]] + chain.last[p[-1]] + sum(e[i, y] for i, y in enumerate(p)) + sum(chain.steps[a, b] for a, b in zip(p, p[1:]))
-        got = chain.decode([s, [["f1"]]])[0].tolist()
+        got = chain.decode([e, chain.scores([["f1"]], 1)])[0].tolist()
         assert len(got) == n and (not n or abs(value(got) - max(map(value, itertools.product(range(4), repeat=n)))) < 1e-9)
 
 
+def test_decoding_side_by_side(monkeypatch):
+    rng = np.random.default_rng(8)
+    chain = boilerplate.Chain({}, np.zeros((0, 4)), rng.normal(size=(4, 4)), rng.normal(size=4), rng.normal(size=4))
+    scores = [rng.normal(size=(int(n), 4)) for n in (0, 3, 900, 1, 40, 41, 0)]
+    alone = [chain.decode([e])[0].tolist() for e in scores]
+    for most in (1, 100, 1 << 18):
+        monkeypatch.setattr(boilerplate, "MOST_STEPS", most)
+        assert [p.tolist() for p in chain.decode(scores)] == alone
+
+
 def test_gradient():
     rng = np.random.default_rng(1)
     n, rows_, y = 3, [[np.array([0]), np.array([1, 2]), np.array([2])]], [np.array([0, 1, 3])]
