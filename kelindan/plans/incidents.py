@@ -93,24 +93,6 @@ def month_windows(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("incident_id", F.date_sub("a", 1).cast("string").alias("opens"), F.date_add(F.greatest("a", "b"), 30).cast("string").alias("closes"))
 
 
-def grid_carry(spark: SparkSession, d: str) -> DataFrame:
-    """Rows show the region only where it changes; the value and its origin are carried down."""
-    from pyspark.sql import Window
-
-    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    order = Window.orderBy("r_regionkey", "n_nationkey")
-    rows = n.select("n_nationkey", "n_name", "r_regionkey", F.row_number().over(order).alias("row"), "r_name").withColumn(
-        "shown", F.when(F.coalesce(F.lag("r_name").over(order) != F.col("r_name"), F.lit(True)), F.col("r_name"))
-    )
-    down = Window.orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select(
-        "n_name",
-        F.last("shown", ignorenulls=True).over(down).alias("region"),
-        F.max(F.when(F.col("shown").isNotNull(), F.col("row"))).over(down).cast("long").alias("origin_row"),
-        F.col("shown").isNotNull().alias("is_origin"),
-    )
-
-
 def centroid_distance(spark: SparkSession, d: str) -> DataFrame:
     from kelindan.functions.stats import haversine_km
 
@@ -133,7 +115,6 @@ QUERIES = {
     "count_cells": count_cells,
     "date_cells": date_cells,
     "month_windows": month_windows,
-    "grid_carry": grid_carry,
     "centroid_distance": centroid_distance,
 }
 
@@ -214,9 +195,6 @@ ORACLES = {
     "month_windows": f"""{_ONE}, t AS (SELECT incident_id, try_cast(CASE WHEN length(date_iso) = 7 THEN date_iso || '-01' ELSE substr(date_iso, 1, 10) END AS DATE) AS a,
                      CASE WHEN length(date_end_iso) = 7 THEN last_day(try_cast(date_end_iso || '-01' AS DATE)) ELSE try_cast(substr(date_end_iso, 1, 10) AS DATE) END AS b FROM i)
         SELECT incident_id, (a - 1)::DATE::VARCHAR AS opens, (greatest(a, b) + 30)::DATE::VARCHAR AS closes FROM t WHERE a IS NOT NULL AND b IS NOT NULL""",
-    "grid_carry": """
-        WITH r AS (SELECT n_name, r_name, r_regionkey, row_number() OVER (ORDER BY r_regionkey, n_nationkey) AS k FROM nation JOIN region ON n_regionkey = r_regionkey)
-        SELECT n_name, r_name AS region, min(k) OVER (PARTITION BY r_regionkey) AS origin_row, k = min(k) OVER (PARTITION BY r_regionkey) AS is_origin FROM r""",
     "centroid_distance": f"""{_ONE}
         SELECT incident_id, round(12742.0 * asin(sqrt(least(1.0, pow(sin(radians(lat - kabkota_lat) / 2), 2) + cos(radians(kabkota_lat)) * cos(radians(lat)) * pow(sin(radians(lng - kabkota_lng) / 2), 2)))), 3) AS km
         FROM i JOIN kabkota_codes ON kode = kabkota_kode WHERE kabkota_kode <> ''""",
