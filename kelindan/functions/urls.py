@@ -38,3 +38,18 @@ def host_key(url: Column, archives: tuple[str, ...] = ("arsip.example", "archive
     for a in archives:
         shared |= host.endswith(a)
     return F.when(shared, F.lit(archives[0])).otherwise(host)
+
+
+# Hosts, paths and titles of pages of videos and galleries.
+GALLERY_HOST, GALLERY_PATH, GALLERY_TITLE = "^(?:20|video)[.]", "^(?:video|foto|tv)/|(?:^|/)foto[a-z-]*/", "^(?i)(?:video:|video |foto:)"
+
+
+def is_gallery(url: Column, title: Column) -> Column:
+    """Is it a page of videos or photos, which has captions only?"""
+    path = F.regexp_extract(url, r"^[^/]*//[^/]*/(.*)$", 1)
+    return F.coalesce(domain_of(url).rlike(GALLERY_HOST), F.lit(False)) | F.coalesce(path.rlike(GALLERY_PATH), F.lit(False)) | F.coalesce(title.rlike(GALLERY_TITLE), F.lit(False))
+
+
+def snapshot_request(service: str, url: Column, day: Column) -> Column:
+    """The question to an archive for the copy of a URL nearest to an ISO day, or to none."""
+    return F.concat(F.lit(service + "?url="), F.url_encode(url), F.when(day.isNotNull(), F.concat(F.lit("&timestamp="), F.replace(day, F.lit("-"), F.lit("")))).otherwise(""))

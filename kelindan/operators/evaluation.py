@@ -99,3 +99,25 @@ def repeat_agreement(labels: DataFrame, item: str, repeat_of: str, label: str) -
     first = labels.select(F.col(item).alias("__o"), F.col(label).alias("__l"))
     pairs = labels.where(F.col(repeat_of).isNotNull()).join(first, F.col(repeat_of) == F.col("__o"))
     return pairs.agg(F.count("*").alias("n"), F.count_if(F.col(label) == F.col("__l")).alias("same"))
+
+
+def scored(key: DataFrame, sheet: DataFrame, item: str) -> DataFrame:
+    """The private key joined to a labeller's sheet; labels are compared trimmed and in upper case."""
+    clean = [F.upper(F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))).alias(c) for c in sheet.columns if c != item]
+    return key.join(sheet.select(item, *clean), item)
+
+
+def positive(label: Column, about: Column, target: str, strict: bool = True) -> Column:
+    """The labeller agrees that it is the target and that it is about the event; an unsure one counts unless it is strict."""
+    return (label == target) & (about.isin("YES") if strict else about.isin("YES", "UNSURE"))
+
+
+def agreement_of(a: DataFrame, b: DataFrame, item: str, columns: dict[str, Column]) -> DataFrame:
+    """(what, n, observed, expected, kappa) of two labellers' sheets, joined by item; ``columns``: what is compared, as an expression that both sheets have."""
+    left, right = ([item, *[c.alias(k) for k, c in columns.items()]] for _ in range(2))
+    both = a.select(*left).join(b.select(*right).toDF(item, *[f"{k}__b" for k in columns]), item)
+    out = None
+    for k in columns:
+        one = kappa(both, k, f"{k}__b").select(F.lit(k).alias("what"), "n", "observed", "expected", "kappa")
+        out = one if out is None else out.unionByName(one)
+    return out

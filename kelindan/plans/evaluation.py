@@ -121,6 +121,31 @@ def fuzzy_tier(spark: SparkSession, d: str) -> DataFrame:
     return M.spelling_tier(names, names.select(F.col("venue").alias("id"), F.col("venue").alias("school")), "venue", "venue", "id", "school")
 
 
+def _sheet(spark: SparkSession, d: str, which: str) -> DataFrame:
+    """A labeller's sheet, made by rules that differ a little, as two labellers do."""
+    t = F.lower("text")
+    label = F.when(t.rlike("hasil uji" if which == "a" else "hasil (?:uji|lab)"), " lab_finding").when(t.rlike("menunggu"), "AWAITING").otherwise("none ")
+    about = F.when(t.rlike("siswa"), "yes").when(t.rlike("santri" if which == "a" else "santri|murid"), "UNSURE").otherwise("NO_GENERAL")
+    return table(spark, d, "documents").where("text <> ''").select("doc_id", label.alias("label"), about.alias("about"))
+
+
+def label_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Agreement of two labellers on the label, on finding or not, and on whether it is about the event."""
+    key = table(spark, d, "documents").where("text <> '' and source is not null").select("doc_id", F.col("source").alias("stratum"))
+    a, b = (E.scored(key, _sheet(spark, d, w), "doc_id") for w in "ab")
+    what = {"label": F.col("label"), "finding": F.when(F.col("label").isin("LAB_FINDING", "LAB_CLEAN"), "FINDING").otherwise("OTHER"), "about": F.col("about")}
+    k = E.agreement_of(a, b, "doc_id", what)
+    return k.select("what", "n", *[F.round(c, 6).alias(c) for c in ("observed", "expected", "kappa")])
+
+
+def strict_strata(spark: SparkSession, d: str) -> DataFrame:
+    """Rates of agreement by stratum, with and without what the labeller was unsure about."""
+    key = table(spark, d, "documents").where("text <> '' and source is not null").select("doc_id", F.col("source").alias("stratum"))
+    s = E.scored(key, _sheet(spark, d, "a"), "doc_id")
+    out = [E.strata(s, "stratum", E.positive(F.col("label"), F.col("about"), "LAB_FINDING", strict)).withColumn("strict", F.lit(strict)) for strict in (True, False)]
+    return out[0].unionByName(out[1])
+
+
 def manifest(spark: SparkSession, d: str) -> DataFrame:
     """Digest of what a run read: per table its rows and an order-free hash of keys."""
     keys = {"documents": "doc_id", "citations": "citation_id", "fetch_ledger": "entry_id", "incidents": "incident_id", "corpus": "doc_id", "outlets": "domain"}
@@ -150,13 +175,26 @@ QUERIES = {
     "venue_matches": venue_matches,
     "part_tiers": part_tiers,
     "fuzzy_tier": fuzzy_tier,
+    "label_agreement": label_agreement,
+    "strict_strata": strict_strata,
     "manifest": manifest,
 }
 
 _C = "c AS (SELECT DISTINCT doc_id, source, lang, status, domain, via, " + ", ".join(f"coalesce(regexp_matches(text, '(?i){p}'), false) AS {k}" for k, p in _FLAGS.items()) + " FROM documents)"
 _W = lambda k, n: (f"({k}/{n} + 1.96*1.96/(2*{n})) / (1 + 1.96*1.96/{n})", f"1.96 * sqrt({k}/{n} * (1 - {k}/{n}) / {n} + 1.96*1.96/(4*{n}*{n})) / (1 + 1.96*1.96/{n})")
 
+_SHEET = """s AS (SELECT DISTINCT doc_id, source AS stratum,
+        CASE WHEN contains(lower(text), 'hasil uji') THEN 'LAB_FINDING' WHEN contains(lower(text), 'menunggu') THEN 'AWAITING' ELSE 'NONE' END AS la,
+        CASE WHEN contains(lower(text), 'hasil uji') OR contains(lower(text), 'hasil lab') THEN 'LAB_FINDING' WHEN contains(lower(text), 'menunggu') THEN 'AWAITING' ELSE 'NONE' END AS lb,
+        CASE WHEN contains(lower(text), 'siswa') THEN 'YES' WHEN contains(lower(text), 'santri') THEN 'UNSURE' ELSE 'NO_GENERAL' END AS aa,
+        CASE WHEN contains(lower(text), 'siswa') THEN 'YES' WHEN contains(lower(text), 'santri') OR contains(lower(text), 'murid') THEN 'UNSURE' ELSE 'NO_GENERAL' END AS ab FROM documents WHERE text <> '' AND source IS NOT NULL)"""
+
 ORACLES = {
+    "label_agreement": f"""WITH {_SHEET}, t AS (SELECT 'label' AS what, la AS x, lb AS y FROM s UNION ALL SELECT 'finding', CASE la WHEN 'LAB_FINDING' THEN 'F' ELSE 'O' END, CASE lb WHEN 'LAB_FINDING' THEN 'F' ELSE 'O' END FROM s UNION ALL SELECT 'about', aa, ab FROM s),
+        n AS (SELECT what, count(*) AS n, avg((x = y)::INT) AS o FROM t GROUP BY what), p AS (SELECT what, x AS v, count(*) AS c FROM t GROUP BY ALL), q AS (SELECT what, y AS v, count(*) AS c FROM t GROUP BY ALL),
+        e AS (SELECT what, sum(p.c * q.c) AS m FROM p JOIN q USING (what, v) GROUP BY what) SELECT what, n, round(o, 6) AS observed, round(m / (n * n), 6) AS expected, CASE WHEN m = n * n THEN 1.0 ELSE round((o - m / (n * n)) / (1 - m / (n * n)), 6) END AS kappa FROM n JOIN e USING (what)""",
+    "strict_strata": f"""WITH {_SHEET}, g AS (SELECT stratum, strict, count(*) AS n, count(*) FILTER (la = 'LAB_FINDING' AND (aa = 'YES' OR (NOT strict AND aa = 'UNSURE'))) AS k FROM s, (SELECT unnest([true, false]) AS strict) GROUP BY ALL)
+        SELECT stratum, n, k, round(k / n, 6) AS rate, round(greatest(0.0, {_W("k", "n")[0]} - {_W("k", "n")[1]}), 6) AS ci_low, round(least(1.0, {_W("k", "n")[0]} + {_W("k", "n")[1]}), 6) AS ci_high, strict FROM g""",
     "group_rates": f"WITH {_C} SELECT domain, count(*) AS n, " + ", ".join(f"round(avg({k}::INT), 6) AS {k}" for k in _FLAGS) + " FROM c GROUP BY domain HAVING count(*) >= 15",
     "crosstab": "SELECT o_orderpriority, " + ", ".join(f"round(count(*) FILTER (o_orderstatus = '{s}') / count(*) FILTER (o_orderstatus IN ('F', 'O', 'P')), 6) AS share_{s.lower()}" for s in ("F", "O", "P")) + " FROM orders GROUP BY 1",
     "quarter_trend": "SELECT coalesce(year(o_orderdate) || 'Q' || quarter(o_orderdate), 'undated') AS quarter, count(*) AS n, round(avg(o_totalprice), 4) AS mean_price FROM orders GROUP BY 1",

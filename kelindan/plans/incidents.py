@@ -93,6 +93,12 @@ def month_windows(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("incident_id", F.date_sub("a", 1).cast("string").alias("opens"), F.date_add(F.greatest("a", "b"), 30).cast("string").alias("closes"))
 
 
+def earliest_events(spark: SparkSession, d: str) -> DataFrame:
+    """The first 25 events by date, undated ones last, then by id."""
+    e = _incidents(spark, d).groupBy("event_id").agg(F.min("date_iso").alias("date_start"))
+    return e.orderBy(F.coalesce("date_start", F.lit("9999")), "event_id").limit(25)
+
+
 def centroid_distance(spark: SparkSession, d: str) -> DataFrame:
     from kelindan.functions.stats import haversine_km
 
@@ -115,6 +121,7 @@ QUERIES = {
     "count_cells": count_cells,
     "date_cells": date_cells,
     "month_windows": month_windows,
+    "earliest_events": earliest_events,
     "centroid_distance": centroid_distance,
 }
 
@@ -195,6 +202,7 @@ ORACLES = {
     "month_windows": f"""{_ONE}, t AS (SELECT incident_id, try_cast(CASE WHEN length(date_iso) = 7 THEN date_iso || '-01' ELSE substr(date_iso, 1, 10) END AS DATE) AS a,
                      CASE WHEN length(date_end_iso) = 7 THEN last_day(try_cast(date_end_iso || '-01' AS DATE)) ELSE try_cast(substr(date_end_iso, 1, 10) AS DATE) END AS b FROM i)
         SELECT incident_id, (a - 1)::DATE::VARCHAR AS opens, (greatest(a, b) + 30)::DATE::VARCHAR AS closes FROM t WHERE a IS NOT NULL AND b IS NOT NULL""",
+    "earliest_events": "SELECT event_id, min(date_iso) AS date_start FROM incidents GROUP BY event_id ORDER BY coalesce(min(date_iso), '9999'), event_id LIMIT 25",
     "centroid_distance": f"""{_ONE}
         SELECT incident_id, round(12742.0 * asin(sqrt(least(1.0, pow(sin(radians(lat - kabkota_lat) / 2), 2) + cos(radians(kabkota_lat)) * cos(radians(lat)) * pow(sin(radians(lng - kabkota_lng) / 2), 2)))), 3) AS km
         FROM i JOIN kabkota_codes ON kode = kabkota_kode WHERE kabkota_kode <> ''""",

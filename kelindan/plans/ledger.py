@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kelindan.functions import cells as C
 from kelindan.functions import urls as U
 from kelindan.operators import ledger as L
 from kelindan.session import table
@@ -121,7 +122,57 @@ def covered_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(hit, "incident_id", "left").groupBy("province").agg(F.count("*").alias("n"), F.count("hit").alias("covered"), F.round(F.count("hit") / F.count("*"), 4).alias("rate"))
 
 
+def host_breaker(spark: SparkSession, d: str) -> DataFrame:
+    """Per domain: attempts, answers that trip its breaker, and attempts made while it was to be left alone."""
+    log = _ledger(spark, d).select("domain", "entry_id", "fetched_at", "http_status")
+    b = L.breaker(log, "domain", "fetched_at", "http_status", ["fetched_at", "entry_id"], F.substring("fetched_at", 1, 10))
+    return b.groupBy("domain").agg(F.count("*").alias("attempts"), F.count("trips").alias("trips"), F.count_if("open").alias("while_open"))
+
+
+def fetch_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Outcome of every URL from the last answers of origin and archive; the sample of skipped and walled domains stands for lists that a user gives."""
+    order = F.struct("fetched_at", "entry_id")
+    log = table(spark, d, "fetch_ledger").where("url <> ''")
+    last = lambda via, c: F.max_by(c, F.when(F.col("via") == via, order))
+    ask = lambda p, via: [last(via, "http_status").alias(f"{p}_status"), last(via, "n_chars").alias(f"{p}_chars"), last(via, F.coalesce(F.col("n_chars") > 0, F.lit(False)).cast("int")).alias(f"{p}_bytes")]
+    landed = log.groupBy("url").agg(F.max("domain").alias("domain"), (~F.max(F.coalesce(F.col("status") == "robots_disallowed", F.lit(False)))).alias("allowed"), *ask("origin", "origin"), *ask("archive", "wayback"))
+    return L.outcomes(landed, skip=("news.example",), paywalled=("radargupol.example",))
+
+
+def publish_days(spark: SparkSession, d: str) -> DataFrame:
+    """Days of publication of read pages; one that is the day of the crawl and what the page's own date was read as was made up by the reading, and is discarded."""
+    last = L.last_wins(table(spark, d, "fetch_ledger").where("status = 'ok'").select("url", "entry_id", "fetched_at", "publish_date", "extracted_date"), "url", ["fetched_at", "entry_id"])
+    day = C.iso_day(F.col("publish_date"))
+    crawl = (day == F.substring("fetched_at", 1, 10)) & (day == C.iso_day(F.col("extracted_date")))
+    made_up = F.coalesce(crawl, F.lit(False))
+    return last.select("url", F.when(~made_up, day).alias("day"), made_up.alias("crawl_day"))
+
+
+def gallery_pages(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "citations").dropDuplicates(["citation_id"])
+    return c.select("citation_id", U.is_gallery(F.col("url"), F.col("title")).alias("gallery"))
+
+
+def snapshot_requests(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "citations").where("url like 'http%'").dropDuplicates(["citation_id"])
+    return c.select("citation_id", U.snapshot_request("https://arsip.example/available", F.col("url"), C.iso_day(F.col("date"))).alias("request"))
+
+
+def text_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Text of a read URL: the article's, else the raw page's, else none."""
+    last = table(spark, d, "fetch_ledger").where("status = 'ok'").groupBy("url").agg(F.max("cache_path").alias("cache_path"))
+    docs = table(spark, d, "documents").where("url <> ''").groupBy("url").agg(F.max(F.length("text")).alias("a"))
+    raw = table(spark, d, "page_cache").select("cache_path", F.length("html").alias("b"))
+    return last.join(docs, "url", "left").join(raw, "cache_path", "left").select("url", F.coalesce("a", "b").cast("long").alias("chars"))
+
+
 QUERIES = {
+    "host_breaker": host_breaker,
+    "fetch_outcomes": fetch_outcomes,
+    "publish_days": publish_days,
+    "gallery_pages": gallery_pages,
+    "snapshot_requests": snapshot_requests,
+    "text_lookup": text_lookup,
     "ledger_last_wins": last_wins,
     "ledger_summary": ledger_summary,
     "failures_by_domain": failures_by_domain,
@@ -143,7 +194,37 @@ QUERIES = {
 _LAST = """WITH r AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY fetched_at DESC NULLS LAST, entry_id DESC) AS k FROM fetch_ledger WHERE url IS NOT NULL), l AS (SELECT * FROM r WHERE k = 1)"""
 _ONE = "WITH f AS (SELECT DISTINCT entry_id, url, via, status, domain, fetched_at FROM fetch_ledger)"
 
+_M = "|".join(sorted(C.MONTHS, key=lambda m: (-len(m), m)))
+_NO = "map {" + ", ".join(f"'{m}': {n}" for m, n in C.MONTHS.items()) + "}"
+# The ISO day with which a value begins, or its first date where that is a day.
+_DAY = lambda c: f"""coalesce(nullif(regexp_extract(trim({c}), '^([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', 1), ''), (SELECT CASE WHEN m LIKE '%/%' THEN right(m, 4) || '-' || lpad(split_part(m, '/', 2), 2, '0') || '-' || lpad(split_part(m, '/', 1), 2, '0')
+    WHEN regexp_matches(m, '^(?:0?[1-9]|[12][0-9]|3[01])[^0-9]') THEN right(m, 4) || '-' || lpad(({_NO}[lower(regexp_extract(m, '([A-Za-z]+)', 1))])::VARCHAR, 2, '0') || '-' || lpad(regexp_extract(m, '^([0-9]+)', 1), 2, '0') END
+    FROM (SELECT list_filter(regexp_extract_all({c}, '(?i)\\b(?:[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}|[0-9]{{1,2}}\\s+(?:{_M})\\s+[0-9]{{4}}|(?:{_M})\\s+[0-9]{{4}})\\b'),
+        lambda z: NOT (z LIKE '%/%' AND (coalesce(try_cast(split_part(z, '/', 2) AS INT), 0) NOT BETWEEN 1 AND 12 OR coalesce(try_cast(split_part(z, '/', 1) AS INT), 0) NOT BETWEEN 1 AND 31)))[1] AS m)))"""
+
 ORACLES = {
+    "host_breaker": f"""WITH f AS (SELECT DISTINCT entry_id, domain, fetched_at, coalesce(http_status, 0) AS c, epoch(fetched_at::TIMESTAMPTZ)::BIGINT AS t FROM fetch_ledger WHERE domain IS NOT NULL),
+        a AS (SELECT *, sum((c <> 0)::INT) OVER w AS er, sum((c BETWEEN 200 AND 299)::INT) OVER w AS fr FROM f WINDOW w AS (PARTITION BY domain ORDER BY fetched_at, entry_id)),
+        b AS (SELECT *, sum((c = 0)::INT) OVER (PARTITION BY domain, er ORDER BY fetched_at, entry_id) AS ek, sum((c = 403)::INT) OVER (PARTITION BY domain, fr ORDER BY fetched_at, entry_id) AS fk FROM a),
+        p AS (SELECT *, CASE WHEN c IN (429, 503) THEN 900 WHEN c = 0 AND ek % 3 = 0 THEN 300 WHEN c = 403 AND fr > 0 AND fk % 5 = 0 THEN 1800 END AS trips FROM b),
+        u AS (SELECT *, last_value(t + trips IGNORE NULLS) OVER (PARTITION BY domain ORDER BY fetched_at, entry_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS until FROM p)
+        SELECT domain, count(*) AS attempts, count(trips) AS trips, count(*) FILTER (t < until) AS while_open FROM u GROUP BY domain""",
+    "fetch_outcomes": """WITH l AS (SELECT * FROM fetch_ledger WHERE url <> ''), o AS (SELECT url, arg_max_null(http_status, (fetched_at, entry_id)) AS c, arg_max_null(n_chars, (fetched_at, entry_id)) AS n FROM l WHERE via = 'origin' GROUP BY url),
+        a AS (SELECT url, arg_max_null(http_status, (fetched_at, entry_id)) AS c, arg_max_null(n_chars, (fetched_at, entry_id)) AS n FROM l WHERE via = 'wayback' GROUP BY url),
+        j AS (SELECT u.url, u.domain, allowed, coalesce(o.c, 0) AS oc, coalesce(o.n, 0) AS n0, coalesce(a.c, 0) BETWEEN 1 AND 399 AND coalesce(a.n, 0) > 0 AS kept, coalesce(a.n, 0) AS n1, coalesce(u.domain = 'radargupol.example', false) AS wall
+              FROM (SELECT url, max(domain) AS domain, NOT bool_or(coalesce(status = 'robots_disallowed', false)) AS allowed FROM l GROUP BY url) u LEFT JOIN o USING (url) LEFT JOIN a USING (url)),
+        k AS (SELECT *, oc = 0 OR oc >= 400 OR n0 = 0 AS bad, coalesce(domain LIKE '%.news.example' OR domain = 'news.example', false) AS skip FROM j), v AS (SELECT *, kept AND (NOT allowed OR bad OR (n0 < 400 AND NOT wall AND n1 > n0)) AS ar FROM k),
+        z AS (SELECT *, CASE WHEN ar THEN n1 ELSE n0 END AS n FROM v), y AS (SELECT *, CASE WHEN n = 0 THEN 'empty' WHEN n >= 400 THEN 'ok' WHEN wall THEN 'paywalled' ELSE 'short_body' END AS body FROM z)
+        SELECT url, CASE WHEN skip THEN 'skipped_domain' WHEN ar THEN body WHEN NOT allowed THEN 'robots_disallowed' WHEN bad THEN CASE WHEN oc = 0 THEN 'network_error' WHEN oc >= 400 THEN 'http_error' ELSE 'no_archive' END ELSE body END AS status,
+               CASE WHEN skip THEN '' WHEN ar THEN 'wayback' ELSE 'origin' END AS via FROM y""",
+    "publish_days": f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY fetched_at DESC, entry_id DESC) AS k FROM fetch_ledger WHERE status = 'ok' AND url IS NOT NULL), e AS (SELECT url, fetched_at, {_DAY("publish_date")} AS day, {_DAY("extracted_date")} AS found FROM r WHERE k = 1)
+        SELECT url, CASE WHEN NOT coalesce(day = left(fetched_at, 10) AND day = found, false) THEN day END AS day, coalesce(day = left(fetched_at, 10) AND day = found, false) AS crawl_day FROM e""",
+    "gallery_pages": r"""SELECT DISTINCT citation_id, coalesce(regexp_matches(url, '^[^/]*//(?:www\.)?(?:20|video)\.'), false) OR coalesce(regexp_matches(url, '^[^/]*//[^/]*/(?:(?:video|foto|tv)/|(?:.*/)?foto[a-z-]*/)'), false)
+        OR coalesce(regexp_matches(title, '^(?i:video:|video |foto:)'), false) AS gallery FROM citations""",
+    "snapshot_requests": f"""SELECT DISTINCT citation_id, 'https://arsip.example/available?url=' || url_encode(url) || CASE WHEN day IS NULL THEN '' ELSE '&timestamp=' || replace(day, '-', '') END AS request
+        FROM (SELECT citation_id, url, {_DAY("date")} AS day FROM citations WHERE url LIKE 'http%')""",
+    "text_lookup": """WITH l AS (SELECT url, max(cache_path) AS cache_path FROM fetch_ledger WHERE status = 'ok' AND url IS NOT NULL GROUP BY url), a AS (SELECT url, max(length(text)) AS a FROM documents WHERE url <> '' GROUP BY url)
+        SELECT l.url, coalesce(a, length(html))::BIGINT AS chars FROM l LEFT JOIN a USING (url) LEFT JOIN page_cache USING (cache_path)""",
     "ledger_last_wins": f"{_LAST} SELECT url, entry_id, fetched_at, status, http_status, n_chars FROM l",
     "ledger_summary": f"{_LAST} SELECT status, count(*) AS n, count(*) FILTER (via = 'wayback') AS via_archive FROM l GROUP BY status",
     "failures_by_domain": f"{_LAST} SELECT domain, count(*) AS failures FROM l WHERE status <> 'ok' GROUP BY domain",

@@ -175,3 +175,36 @@ def test_numbered_in_blocks(spark):
     got = L.numbered(df, "g", ["id"], F.format_string("%05d", F.floor(F.col("id") / 7)))
     want = df.withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy("id")))
     assert got.select("id", "k").exceptAll(want.select("id", "k")).isEmpty() and got.count() == 1000
+
+
+def test_breaker(spark):
+    said = [200, 403, 403, 403, 404, 403, 403, 0, None, 0, 0, 500, 0, 0, 0, 429, 200]
+    df = spark.createDataFrame([("h", i, f"2025-01-01 00:{i:02d}:00", c) for i, c in enumerate(said)] + [("g", 1, "2025-01-01 00:00:00", 403), ("f", 1, "2025-01-01 00:00:00", None)], "host string, id int, at string, code int")
+    for size in (1, 5, 60):
+        block = F.format_string("%03d", F.floor(F.minute("at") / size))
+        got = {(r.host, r.id): (r.trips, r.open) for r in L.breaker(df, "host", "at", "code", ["at", "id"], block).collect()}
+        trips = {k: t for k, (t, _) in got.items() if t}
+        assert trips == {("h", 6): 1800, ("h", 9): 300, ("h", 14): 300, ("h", 15): 900}
+        assert not got["h", 6][1] and got["h", 7][1] and got["h", 14][1] is False and got["h", 15][1] and got["h", 16][1] and not got["f", 1][1]
+
+
+def test_outcomes(spark):
+    cols = "url string, domain string, allowed boolean, origin_status int, origin_chars int, origin_bytes int, archive_status int, archive_chars int, archive_bytes int"
+    landed = [
+        ("ok", "a.x", True, 200, 900, 1, None, None, None, "ok", "origin"), ("forbidden", "a.x", False, 200, 900, 1, None, None, None, "robots_disallowed", "origin"), ("kept", "a.x", False, None, None, None, 200, 500, 1, "ok", "wayback"),
+        ("gone", "a.x", True, 404, 0, 1, 500, 0, 0, "http_error", "origin"), ("reset", "a.x", True, 0, 0, 0, None, None, None, "network_error", "origin"), ("bare", "a.x", True, 200, 0, 0, None, None, None, "no_archive", "origin"),
+        ("short", "a.x", True, 200, 50, 1, 200, 40, 1, "short_body", "origin"), ("longer", "a.x", True, 200, 50, 1, 200, 400, 1, "ok", "wayback"), ("wall", "pay.x", True, 200, 50, 1, 200, 400, 1, "paywalled", "origin"),
+        ("social", "m.social.x", True, 200, 900, 1, None, None, None, "skipped_domain", ""), ("nothing", None, True, 200, 0, 1, None, None, None, "empty", "origin"),
+    ]
+    df = spark.createDataFrame([r[:9] for r in landed], cols)
+    got = {r.url: (r.status, r.via) for r in L.outcomes(df, skip=("social.x",), paywalled=("pay.x",)).collect()}
+    assert got == {r[0]: r[9:] for r in landed}
+
+
+def test_two_labellers(spark):
+    key = spark.createDataFrame([(1, "s"), (2, "s"), (3, "t")], "id int, stratum string")
+    a = E.scored(key, spark.createDataFrame([(1, " yes", "YES"), (2, "no", "UNSURE"), (3, "yes", "NO")], "id int, label string, about string"), "id")
+    b = E.scored(key, spark.createDataFrame([(1, "YES", "yes"), (2, "YES", "yes"), (9, "NO", "no")], "id int, label string, about string"), "id")
+    got = {r.what: (r.n, r.observed) for r in E.agreement_of(a, b, "id", {"label": F.col("label"), "about": F.col("about")}).collect()}
+    assert got == {"label": (2, 0.5), "about": (2, 0.5)}
+    assert rows(a.select("id", E.positive(F.col("label"), F.col("about"), "NO").alias("s"), E.positive(F.col("label"), F.col("about"), "NO", False).alias("l"))) == [(1, False, False), (2, False, True), (3, False, False)]

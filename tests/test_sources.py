@@ -126,3 +126,94 @@ def test_tables_of_pages(spark):
     df = spark.createDataFrame([("p", "atas", html), ("q", "atas", None)], "page string, parent string, html string")
     assert [r.cells for r in listings.html_tables(df, "page").orderBy("row").collect()] == [["No", "Nama"], ["1", "Kab. A"], ["2", "B"]]
     assert rows(listings.register(df, "page", "parent"), "parent", "name", "link") == [("atas", "Kab. A", "/w/11")]
+
+
+def test_incidents_from_markup(spark):
+    from kelindan.operators import wiki as W
+
+    head = "\n".join(f"! {c}" for c in W.COLUMNS)
+    text = f"""== Lain ==
+{{|
+! x
+|}}
+== Daftar Indonesia ==
+{{|
+|-
+{head}
+|-
+|
+| Kosong
+|
+|
+|
+|
+|
+|-
+| 2 Mei 2025
+| JAWA
+| [[Kota Batu|Batu]]
+| SDN 1
+| rowspan="2" | 45 Siswa dan Guru
+|
+| <ref name="a"/>
+|-
+| Mei 2025
+| Entah
+| Batu
+| SD (spesifik tidak disebutkan)
+| 1 orang
+| <ref name="a"/><ref name="b"/>
+|-
+| Belum jelas
+| Jawa
+| [[Kota Jauh]]
+| Pondok X
+| Ratusan Siswa
+|
+|
+|-
+| colspan="4" | TOTAL
+| 45
+|
+|
+|}}"""
+    pages = spark.createDataFrame([("p", text)], "page string, wikitext string")
+    seen = W.read_pages(pages, "page", "wikitext", "Indonesia")
+    assert [tuple(r) for r in W.page_report(seen, "page").collect()] == [("p", 5, 3, 1, "45")]
+    cites = spark.createDataFrame([("a", 1, "http://u1", None), ("a.1", 2, "http://u2", "http://w/u2")], "ref_id string, citation_id long, url string, archive_url string")
+    codes = spark.createDataFrame([("1.1", "Kota Batu", None, "Timur")], "kode string, nama string, nama_lain string, provinsi string")
+    codes = codes.union(spark.createDataFrame([("2.1", "Kota Y", None, "Jawa")], codes.schema))
+    i = W.normalise(seen, "page", cites, codes)
+    got = {r.table_row: r for r in i.collect()}
+    assert {k: r.flags for k, r in got.items()} == {
+        1: ["kabkota_province_mismatch", "unnumbered_subject"],
+        2: ["month_precision_only", "unknown_province", "kabkota_unlinked", "kabkota_no_kode", "no_venue", "unnumbered_subject", "count_shared_across_rows"],
+        3: ["no_date", "kabkota_no_kode", "count_vague", "no_source_url"],
+    }
+    assert got[1].source_urls == ["http://u1", "http://w/u2"] and got[1].symptomatic_counted == 45 and got[2].symptomatic_counted is None
+    e = {r.event_id: r for r in W.collapse(i).collect()}
+    one = e["p#e0001"]
+    assert (one.date_start, one.n_rows, one.deaths, one.venues, one.incident_ids) == ("2025-05", 2, 1, ["SDN 1"], ["p#r0001", "p#r0002"]) and len(e) == 2
+    facts = {r.name: r.value for r in W.quality(i).collect()}
+    assert facts["rows"] == "3" and facts["counted"] == "45" and facts["naive"] == "90" and facts["flag count_vague"] == "1"
+    assert W.normalise(seen.limit(0), "page", cites, codes).count() == 0
+
+
+def test_outside_a_local_session_the_shared_folder_must_be_named():
+    from kelindan.session import shared_dir
+
+    class Context:
+        master = "spark://x:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, name, other):
+            return other
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session())
