@@ -19,9 +19,14 @@ def _accents() -> tuple[str, str]:
 
 
 def deaccent(c: Column) -> Column:
-    """Without accents and combining marks; stays inside the JVM. Most texts are plain ASCII, which a regular expression tells much faster than
-    ``translate`` goes through them."""
-    return F.when(c.rlike(r"[^\x00-\x7f]"), F.translate(c, *_accents())).otherwise(c)
+    """Without accents and combining marks; stays inside the JVM. Most texts have no such letter, which a regular expression tells much faster than ``translate`` goes
+    through them; dashes and quotes, which many have, lie outside its range."""
+    return F.when(c.rlike(r"[\u00c0-\u1fff]"), F.translate(c, *_accents())).otherwise(c)
+
+
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often its lambdas refer to it."""
+    return F.transform(F.array(value), use)[0]
 
 
 def collapse(c: Column) -> Column:

@@ -1,26 +1,28 @@
 """De-duplicated corpora: exact groups by hash, similar pairs by shared shingles, clusters, canonical records.
 
-Similar pairs come from prefix filtering: shingles are ordered from rare to frequent, and two sets of similarity t or more must share one among the
+Similar pairs come from prefix filtering: shingles are ordered, those of many documents last, and two sets of similarity t or more must share one among the
 first n - ceil(t n) + 1 of each, so only those join. Nothing is lost, and frequent shingles, which make most pairs, hardly ever take part.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelindan.functions import text as T
 from kelindan.session import keep
 
 
-def word_arrays(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, words) of normalised texts that have a word; materialised, as lambdas over an unmaterialised split would split again and again."""
-    return keep(docs.where(F.col(text).isNotNull()).select(doc, F.split(T.norm_words(F.col(text)), " ").alias("words")).where("words[0] <> ''").dropDuplicates([doc]), "words")
+def shingle_hashes(words: Column, k: int = 5) -> Column:
+    """Sorted distinct 64-bit hashes of the k-word sequences of an array of words, which should be a column of its own; fewer words are one sequence."""
+    each = F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.xxhash64(*[F.element_at(words, i + j) for j in range(k)]))
+    return F.array_sort(F.array_distinct(F.when(F.size(words) >= k, each).otherwise(F.array(F.xxhash64(words)))))
 
 
-def shingle_rows(words: DataFrame, doc: str = "doc_id", k: int = 5) -> DataFrame:
-    """(doc, s): the distinct shingles of every document, as 64-bit hashes."""
-    return words.select(doc, F.explode(T.shingles(F.col("words"), k)).alias("t")).select(doc, F.xxhash64("t").alias("s"))
+def shingle_sets(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 5) -> DataFrame:
+    """(doc, s): the shingles of every normalised text that has a word, in one pass over the texts."""
+    words = F.split(T.norm_words(F.col(text)), " ")
+    return docs.where(F.col(text).isNotNull()).select(doc, T.bound(words, lambda w: F.when(w[0] != "", shingle_hashes(w, k))).alias("s")).where("s is not null")
 
 
 def exact_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -31,21 +33,29 @@ def exact_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Da
     return hashed.join(groups, "text_hash").select(doc, "text_hash", "group_size", "group_id")
 
 
+#: Shingles in more documents than this are frequent; any number gives the same pairs.
+OFTEN = 3
+#: Sets of up to this many 64-bit hashes are broadcast, larger ones joined by shuffling.
+MOST_BROADCAST = 1_000_000
+
+
 def similar_pairs(docs: DataFrame, threshold: float = 0.7, k: int = 5, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(a, b, shared, jaccard) of all pairs of documents, a < b, whose shingle sets have at least the threshold's similarity."""
-    rows = keep(shingle_rows(word_arrays(docs, doc, text), doc, k).withColumnRenamed(doc, "d"), "shingles")
-    df = rows.groupBy("s").agg(F.count("*").alias("df"))
-    # One sorted array of (df, shingle) per document, hence bounded by a document; shingles in one document only can't be shared and go last of all needs.
-    sets = rows.join(df, "s").groupBy("d").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("x"))
-    sets = keep(sets.select("d", F.size("x").alias("n"), F.transform("x", lambda e: e["s"]).alias("s"), F.transform("x", lambda e: e["df"]).alias("df")), "sets")
+    """(a, b, shared, jaccard) of all pairs of documents, a < b, whose shingle sets have at least the threshold's similarity; repeated rows of one id count once."""
+    sets = shingle_sets(docs, doc, text, k).select(F.col(doc).alias("d"), "s", F.size("s").alias("n"))
+    sets = keep(sets, "sets")
+    rows = sets.select("d", F.explode("s").alias("s"))
+    frequent = keep(rows.groupBy("s").agg(F.count("*").alias("df")).where(F.col("df") > OFTEN).select("s"), "frequent")
+    few = F.broadcast(frequent) if frequent.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else frequent
+    last = rows.join(few, "s", "left_semi").groupBy("d").agg(F.array_sort(F.collect_list("s")).alias("last"))
     cut = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
-    prefix = sets.select("d", "n", F.explode(F.arrays_zip(F.slice("s", F.lit(1), cut).alias("s"), F.slice("df", F.lit(1), cut).alias("f"))).alias("e")).where("e.f > 1").select("d", "n", F.col("e.s").alias("s"))
+    ordered = F.when(F.col("last").isNull(), F.col("s")).otherwise(F.concat(F.array_except("s", "last"), "last"))
+    prefix = sets.join(last, "d", "left").select("d", "n", F.explode(F.slice(ordered, F.lit(1), cut)).alias("s"))
     x, y = prefix.alias("x"), prefix.alias("y")
     near = (F.col("x.s") == F.col("y.s")) & (F.col("x.d") < F.col("y.d")) & (F.col("x.n") >= threshold * F.col("y.n")) & (F.col("y.n") >= threshold * F.col("x.n"))
     pairs = x.join(y, near).select(F.col("x.d").alias("a"), F.col("y.d").alias("b")).distinct()
     sa, sb = sets.select(F.col("d").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")), sets.select(F.col("d").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
     scored = pairs.join(sa, "a").join(sb, "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
-    return scored.withColumn("jaccard", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).where(F.col("jaccard") >= threshold).select("a", "b", "shared", "jaccard")
+    return scored.withColumn("jaccard", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).where(F.col("jaccard") >= threshold).select("a", "b", "shared", "jaccard").dropDuplicates(["a", "b"])
 
 
 def clusters(nodes: DataFrame, pairs: DataFrame, doc: str = "doc_id") -> DataFrame:

@@ -33,18 +33,29 @@ def name_tokens(name: Column) -> Column:
     )
 
 
+def contained(left: DataFrame, right: DataFrame, on: list[str], words: str, others: str) -> DataFrame:
+    """Rows of both sides that agree ``on`` columns and of which all ``words`` of the left are among ``others`` of the right. Rows meet by the one of the left's words that is in
+    the fewest of the right's, so a hot key without a number or a common word pairs nothing; rows without a word meet all that agree, as they are in all. The right's
+    columns other than ``on`` must have names of their own."""
+    spelt = right.withColumn("__w", F.explode(F.array_distinct(F.concat(F.coalesce(others, F.array().cast("array<string>")), F.array(F.lit(""))))))
+    count = spelt.groupBy(*on, "__w").agg(F.count("*").alias("__n"))
+    each = left.withColumn("__id", F.xxhash64(*left.columns)).withColumn("__w", F.explode(F.when(F.size(words) > 0, F.col(words)).otherwise(F.array(F.lit("")))))
+    rare = each.join(count, [*on, "__w"], "left").groupBy("__id").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "__w")).alias("m")).select("__id", F.col("m.__w").alias("__w"))
+    pairs = each.join(rare, ["__id", "__w"]).join(spelt, [*on, "__w"])
+    return pairs.where(F.size(F.array_except(words, others)) == 0).drop("__w", "__id")
+
+
 def tiered(names: DataFrame, register: DataFrame, key: str, name: str, id_: str, reg_name: str, address: str | None = None) -> DataFrame:
-    """(key, result, tier, ids): candidates agree in kind and numbers by an equi-join; a tier counts only if the one before found nothing; several
+    """(key, result, tier, ids): candidates agree in kind and numbers and hold all words of the name; a tier counts only if the one before found nothing; several
     candidates of a tier are ambiguous. Names without a known kind match nothing."""
-    left = names.select(F.col(key), name_tokens(F.col(name)).alias("a")).where("a.kind <> ''").select(key, "a.kind", "a.state", F.concat_ws(",", "a.numbers").alias("nums"), F.col("a.words").alias("words"))
+    left = names.select(F.col(key), name_tokens(F.col(name)).alias("a")).where("a.kind <> ''").select(key, "a.kind", "a.state", F.concat_ws(",", "a.numbers").alias("nums"), F.col("a.words").alias("words")).distinct()
     where = F.split(F.regexp_replace(F.lower(F.coalesce(F.col(address), F.lit(""))), "[^a-z0-9]+", " "), " ") if address else F.array().cast("array<string>")
-    right = register.select(F.col(id_), name_tokens(F.col(reg_name)).alias("b"), where.alias("place")).select(
-        id_, F.col("b.kind").alias("kind"), F.col("b.state").alias("st"), F.concat_ws(",", "b.numbers").alias("nums"), F.col("b.words").alias("w2"), "place"
+    right = register.select(F.col(id_).alias("__id_"), name_tokens(F.col(reg_name)).alias("b"), where.alias("place")).select(
+        "__id_", F.col("b.kind").alias("kind"), F.col("b.state").alias("st"), F.concat_ws(",", "b.numbers").alias("nums"), F.col("b.words").alias("w2"), F.array_union("b.words", "place").alias("w3")
     )
-    pool = left.join(right, ["kind", "nums"]).where((F.col("state") == "") | (F.col("state") == F.col("st")))
-    inside = lambda c: F.size(F.array_except("words", c)) == 0
-    hits = pool.withColumn("tier", F.when(inside(F.col("w2")), 1).when(inside(F.array_union("w2", "place")), 2)).where("tier is not null")
-    best = hits.groupBy(key, "tier").agg(F.sort_array(F.collect_set(id_)).alias("ids")).groupBy(key).agg(F.min(F.struct("tier", "ids")).alias("m"))
+    pool = contained(left, right, ["kind", "nums"], "words", "w3").where((F.col("state") == "") | (F.col("state") == F.col("st")))
+    hits = pool.withColumn("tier", F.when(F.size(F.array_except("words", "w2")) == 0, 1).otherwise(2))
+    best = hits.groupBy(key, "tier").agg(F.sort_array(F.collect_set("__id_")).alias("ids")).groupBy(key).agg(F.min(F.struct("tier", "ids")).alias("m"))
     tier = F.when(F.col("m.tier") == 1, "name").when(F.col("m.tier") == 2, "address").otherwise("")
     found = names.select(key).distinct().join(best, key, "left")
     return found.select(
@@ -52,9 +63,19 @@ def tiered(names: DataFrame, register: DataFrame, key: str, name: str, id_: str,
     )
 
 
+#: From this ratio on, near-identical spellings share three letters in a row if one has six or more, else two, or are the same.
+LEAST_CUTOFF = 0.86
+
+
+def _grams(word: Column, n: int) -> Column:
+    return F.when(F.length(word) >= n, F.transform(F.sequence(F.lit(1), F.length(word) - n + 1), lambda i: F.substring(word, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+
 def spelling_tier(names: DataFrame, register: DataFrame, key: str, name: str, id_: str, reg_name: str, cutoff: float = 0.86) -> DataFrame:
     """(key, ids): the last tier, for names that the others left: every word has a near-identical one (by difflib's ratio) in the register's name. Only
-    candidates of the same kind and numbers are compared."""
+    candidates of the same kind and numbers that share letters in a row with the name's longest word are compared: spellings whose ratio is ``LEAST_CUTOFF`` or more do."""
+    if cutoff < LEAST_CUTOFF:
+        raise ValueError(f"spellings less alike than {LEAST_CUTOFF} need not share letters in a row")
     toks = lambda df, c, *keep: df.select(*keep, name_tokens(F.col(c)).alias("a")).where("a.kind <> ''")
     left = toks(names, name, key).select(key, "a.kind", F.concat_ws(",", "a.numbers").alias("nums"), F.array_join("a.words", " ").alias("w"))
     right = toks(register, reg_name, id_).select(id_, "a.kind", F.concat_ws(",", "a.numbers").alias("nums"), F.array_join("a.words", " ").alias("w2"))
@@ -64,7 +85,12 @@ def spelling_tier(names: DataFrame, register: DataFrame, key: str, name: str, id
             ok = [bool(w) and all(x in v.split(" ") or difflib.get_close_matches(x, v.split(" "), n=1, cutoff=cutoff) for x in w.split(" ")) for w, v in zip(pdf["w"], pdf["w2"])]
             yield pdf.loc[ok, [key, id_]]
 
-    pairs = left.join(right, ["kind", "nums"]).select(key, id_, "w", "w2")
+    longest = F.array_max(F.transform(F.split("w", " "), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    grams = F.when(F.length("top") >= 6, _grams(F.col("top"), 3)).when(F.length("top") >= 2, _grams(F.col("top"), 2)).otherwise(F.array("top"))
+    left = left.where("w <> ''").withColumn("top", longest).withColumn("gram", F.explode(F.array_distinct(grams))).drop("top")
+    held = F.flatten(F.transform(F.split("w2", " "), lambda x: F.concat(_grams(x, 3), _grams(x, 2), F.array(x))))
+    right = right.withColumn("gram", F.explode(F.array_distinct(held)))
+    pairs = left.join(right, ["kind", "nums", "gram"]).select(key, id_, "w", "w2").distinct()
     hits = pairs.mapInPandas(near, _schema(pairs, key, id_))
     return hits.groupBy(key).agg(F.array_join(F.sort_array(F.collect_set(F.col(id_).cast("string"))), "|").alias("ids"))
 

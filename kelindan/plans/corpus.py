@@ -21,7 +21,7 @@ def exact_dup_groups(spark: SparkSession, d: str) -> DataFrame:
 
 def shingle_df(spark: SparkSession, d: str) -> DataFrame:
     """How many shingles stand in how many documents."""
-    rows = C.shingle_rows(C.word_arrays(_texts(spark, d)))
+    rows = C.shingle_sets(_texts(spark, d)).select("doc_id", F.explode("s").alias("s"))
     return rows.groupBy("s").agg(F.count("*").alias("df")).groupBy("df").agg(F.count("*").alias("shingles"))
 
 

@@ -110,9 +110,8 @@ def venue_matches(spark: SparkSession, d: str) -> DataFrame:
 def part_tiers(spark: SparkSession, d: str) -> DataFrame:
     """Parts of one brand and size whose names' words are all in another's name."""
     p = table(spark, d, "part").select("p_partkey", "p_brand", "p_size", F.array_distinct(F.split(F.lower("p_name"), " +")).alias("w"))
-    x, y = p.alias("x"), p.alias("y")
-    j = x.join(y, (F.col("x.p_brand") == F.col("y.p_brand")) & (F.col("x.p_size") == F.col("y.p_size")) & (F.col("x.p_partkey") != F.col("y.p_partkey")))
-    hit = j.where(F.size(F.array_except("x.w", "y.w")) == 0).groupBy(F.col("x.p_partkey").alias("p_partkey")).agg(F.count("*").alias("n"), F.min("y.p_partkey").alias("first_match"))
+    other = p.select("p_brand", "p_size", F.col("p_partkey").alias("match"), F.col("w").alias("w2"))
+    hit = M.contained(p, other, ["p_brand", "p_size"], "w", "w2").where("p_partkey <> match").groupBy("p_partkey").agg(F.count("*").alias("n"), F.min("match").alias("first_match"))
     return hit.select("p_partkey", "n", "first_match", F.when(F.col("n") == 1, "matched").otherwise("ambiguous").alias("result"))
 
 

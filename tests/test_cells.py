@@ -120,3 +120,25 @@ def test_labels(spark):
 def test_people_in_prose(spark):
     said = "Dari total 517 siswa, 12 orang siswa dan 3 guru sakit; 1.200 siswa yang terdaftar, 90 penerima manfaat"
     assert one(spark, cells.prose_counts, said, "") == [[3, 12, 90], []]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_spellings_against_all_pairs(spark, seed):
+    import difflib
+    import random
+
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 9)))
+    edit = lambda w: "".join(c for c in w if rng.random() > 0.08) + (rng.choice("abcde") if rng.random() < 0.2 else "")
+    school = [(i, [word() for _ in range(rng.randint(1, 3))]) for i in range(60)]
+    names = [[edit(w) for w in ws] for _, ws in school]
+    reg = spark.createDataFrame([(i, "SDN 1 " + " ".join(ws)) for i, ws in school], "id int, school string")
+    ven = spark.createDataFrame([(k, "SDN 1 " + " ".join(n)) for k, n in enumerate(names)], "k int, venue string")
+    clean = lambda ws: [w for w in dict.fromkeys(ws) if w and w not in M.FILLER]
+    want = {}
+    for k, n in enumerate(names):
+        w = clean(n)
+        hits = [str(i) for i, ws in school if w and all(x in clean(ws) or difflib.get_close_matches(x, clean(ws), n=1, cutoff=0.86) for x in w)]
+        if hits:
+            want[k] = "|".join(sorted(hits))
+    assert {r.k: r.ids for r in M.spelling_tier(ven, reg, "k", "venue", "id", "school").collect()} == want
