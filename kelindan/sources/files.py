@@ -22,12 +22,41 @@ def read_nested_csv(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     return raw.select(*[F.from_json(f.name, f.dataType).alias(f.name) if isinstance(f.dataType, simple) else F.col(f.name) for f in schema])
 
 
-def write_nested_csv(df: DataFrame, path: str) -> None:
-    """The reverse: nested columns as JSON text."""
+def _counted(df: DataFrame, write) -> int:
+    """Writes and returns how many rows were written."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    write(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return seen.get["n"]
+
+
+def write_jsonl(df: DataFrame, path: str) -> int:
+    """JSON lines with null fields kept; returns the number of rows."""
+    return _counted(df, lambda d: d.write.option("ignoreNullFields", False).json(path))
+
+
+def write_nested_csv(df: DataFrame, path: str) -> int:
+    """The reverse of ``read_nested_csv``: nested columns as JSON text. Returns the number of rows; without rows nothing is written at all."""
+    if df.isEmpty():
+        return 0
     nested = (T.ArrayType, T.MapType, T.StructType)
-    df.select(*[F.to_json(f.name).alias(f.name) if isinstance(f.dataType, nested) else F.col(f.name) for f in df.schema]).write.options(
-        header=True, escape='"', nullValue="\u0000", emptyValue='""'
-    ).csv(path)
+    flat = df.select(*[F.to_json(f.name).alias(f.name) if isinstance(f.dataType, nested) else F.col(f.name) for f in df.schema])
+    return _counted(flat, lambda d: d.write.options(header=True, escape='"', nullValue="\u0000", emptyValue='""').csv(path))
+
+
+def write_report(facts: dict, spark: SparkSession, path: str) -> None:
+    """A small report as one JSON document."""
+    spark.createDataFrame([(json.dumps(facts, sort_keys=True, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_report(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.option("wholetext", True).text(path).where("trim(value) <> ''").first()[0])
+
+
+def write_corpus(docs: DataFrame, path: str) -> int:
+    """Records of a corpus in order of day, undated ones first, then of id: files are ranges of that order."""
+    return write_jsonl(docs.orderBy(F.coalesce("publish_date", F.lit("")), "doc_id"), path)
 
 
 def read_whole(spark: SparkSession, path: str) -> DataFrame:
@@ -44,14 +73,17 @@ def attach_cached(ledger: DataFrame, cached: DataFrame) -> DataFrame:
 
 def write_run(tables: dict[str, DataFrame], base: str, run_id: str) -> dict[str, int]:
     """Writes tables under ``base/<name>/run_id=...``; a run is immutable, so a second write of one id fails. Returns rows per table, counted as they are written."""
-    from pyspark.sql import Observation
+    return {name: _counted(df, lambda d, n=name: d.write.mode("errorifexists").parquet(f"{base}/{n}/run_id={run_id}")) for name, df in tables.items()}
+
+
+def point_to(spark: SparkSession, base: str, run_id: str) -> None:
+    """Names the run that is to be read."""
+    write_report({"run_id": run_id}, spark, f"{base}/_latest")
+
 
-    counts = {}
-    for name, df in tables.items():
-        seen = Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").parquet(f"{base}/{name}/run_id={run_id}")
-        counts[name] = seen.get["n"]
-    return counts
+def pointed_run(spark: SparkSession, base: str, name: str) -> DataFrame:
+    """A table of the run that the pointer names."""
+    return spark.read.parquet(f"{base}/{name}/run_id={read_report(spark, f'{base}/_latest')['run_id']}")
 
 
 def latest_run(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -82,6 +114,7 @@ def read_region_dump(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(dots == 1).withColumn("provinsi_kode", F.substring_index("kode", ".", 1)).join(provinces, "provinsi_kode", "left").select("kode", "provinsi_kode", "provinsi", "nama", "lat", "lng")
 
 
-def lexicon_manifest(version: str, tables: dict[str, int]) -> str:
-    """What a run was made of, as JSON: rule version and rows per table."""
-    return json.dumps({"rules": version, "rows": tables}, sort_keys=True)
+def lexicon_manifest(version: str, tables: dict[str, int], inputs: DataFrame | None = None) -> str:
+    """What a run was made of, as JSON: rule version (``lexicon.version()``), rows per table, and digests of its input files (``file_digests``, one row a file)."""
+    files = {r.path: r.sha256 for r in inputs.select("path", "sha256").toLocalIterator()} if inputs is not None else {}
+    return json.dumps({"rules": version, "rows": tables, "inputs": files}, sort_keys=True)

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as PT
@@ -217,3 +219,21 @@ def test_outside_a_local_session_the_shared_folder_must_be_named():
 
     with pytest.raises(RuntimeError):
         shared_dir(Session())
+
+
+def test_writers(spark, tmp_path):
+    from kelindan.functions import lexicon
+    from kelindan.sources import files as W
+
+    df = spark.createDataFrame([(2, None, ["a"]), (1, "2025", [])], "doc_id int, publish_date string, refs array<string>")
+    assert W.write_jsonl(df, f"{tmp_path}/j") == 2 and W.write_nested_csv(df, f"{tmp_path}/c") == 2 and W.write_corpus(df, f"{tmp_path}/o") == 2
+    assert W.write_nested_csv(df.limit(0), f"{tmp_path}/none") == 0 and not (tmp_path / "none").exists()
+    assert [r.doc_id for r in spark.read.json(f"{tmp_path}/o").collect()] == [2, 1]
+    for run in ("20250101T000000Z", "20250202T000000Z"):
+        assert W.write_run({"t": df}, f"{tmp_path}/runs", run) == {"t": 2}
+    W.point_to(spark, f"{tmp_path}/runs", "20250101T000000Z")
+    assert W.pointed_run(spark, f"{tmp_path}/runs", "t").count() == 2
+    W.point_to(spark, f"{tmp_path}/runs", "20250202T000000Z")
+    assert W.read_report(spark, f"{tmp_path}/runs/_latest") == {"run_id": "20250202T000000Z"}
+    made = json.loads(W.lexicon_manifest(lexicon.version(), {"t": 2}, W.file_digests(spark, f"{tmp_path}/j")))
+    assert len(made["rules"]) == 16 and made["rows"] == {"t": 2} and made["inputs"]
