@@ -77,7 +77,8 @@ def fuse_fields(
     source: str,
     fields: list[str],
     tolerance: float = 0.002,
-    most_rounds: int = 50,
+    detect: int = 5,
+    shrink: float = 0.6,
     false_values: int = 20,
     prior_accuracy: float = 0.8,
     copy_rate: float = 0.8,
@@ -85,7 +86,8 @@ def fuse_fields(
 ) -> DataFrame:
     """(group, field, value, posterior, votes): for every group and field the value of maximum posterior, ties by smallest value.
 
-    Rounds go on until no source's accuracy moves by more than ``tolerance``; a fusion that has not settled after ``most_rounds`` raises. Claims are (group, field, source, value); a source that claims several values in one group votes for each. Votes are counted
+    Rounds go on until no source's accuracy moves by more than ``tolerance``. Dependence is judged anew in the first ``detect`` rounds; from then on it is held, and steps shrink
+    by ``shrink`` a round, as few claims can make two sources change places for ever: that settles every fusion, at the latest when steps are below the tolerance. Claims are (group, field, source, value); a source that claims several values in one group votes for each. Votes are counted
     once per source, so what is compared is bounded by the number of sources, not of rows. Each round scores a value by the sum of its
     sources' log odds ``ln(n A / (1 - A))``, each vote discounted by the chance that it was copied, turns scores into posteriors over
     the values claimed in the group, and takes a source's accuracy as the mean posterior of its claims. Dependence of two sources follows
@@ -122,12 +124,14 @@ def fuse_fields(
         posterior = keep(posterior, f"posterior{k}")
         judged = claims.join(posterior.drop("set"), ["g", "f", "v"])
         judged = judged.groupBy("s").agg(F.least(F.lit(0.99), F.greatest(F.lit(0.05), F.avg("p"))).alias("new"))
-        moved = keep(acc.join(judged, "s").select("s", F.col("new").alias("a"), F.abs(F.col("new") - F.col("a")).alias("by")), f"accuracy{k}")
+        step = 1.0 if k < detect else shrink ** (k - detect + 1)
+        moved = acc.join(judged, "s").select("s", (F.col("a") + step * (F.col("new") - F.col("a"))).alias("a"), (step * F.abs(F.col("new") - F.col("a"))).alias("by"))
+        moved = keep(moved, f"accuracy{k}")
         if k and (moved.agg(F.max("by")).first()[0] or 0.0) <= tolerance:
             break
-        if k == most_rounds:
-            raise RuntimeError(f"the accuracies of sources have not settled after {most_rounds} rounds")
         acc = moved.select("s", "a")
+        if k >= detect:
+            continue
         dependence = keep(_dependence(posterior, sets, common, acc, n, copy_rate, prior_dependence), f"dependence{k}")
         own = keep(_independence(sets, dependence, copy_rate), f"own{k}")
     best = posterior.groupBy("g", "f").agg(F.min(F.struct((-F.col("p")).alias("q"), "v", "votes")).alias("b"))
