@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import difflib
+import functools
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kelindan.session import keep
+
 # Kinds of school, and words that tell nothing.
 KINDS = ("sd", "smp", "sma", "smk", "mi", "mts", "ma", "tk", "kb", "paud", "ra", "slb", "sps", "tpa")
 FILLER = ("negeri", "swasta", "kabupaten", "kab", "kota", "desa", "ds", "kelurahan", "kel", "kec", "kecamatan", "al", "dan", "di")
@@ -36,15 +39,36 @@ def name_tokens(name: Column) -> Column:
 def contained(left: DataFrame, right: DataFrame, on: list[str], words: str, others: str) -> DataFrame:
     """Rows of both sides that agree ``on`` columns and of which all ``words`` of the left are among ``others`` of the right. Rows meet by the one of the left's words that is in
     the fewest of the right's, so a hot key without a number or a common word pairs nothing; rows without a word meet all that agree, as they are in all. The right's
-    columns other than ``on`` must have names of their own."""
+    columns other than ``on`` must have names of their own. All joins are by sorting: Spark sizes a side by the files that it comes from, not by its words, and would broadcast too much."""
     spelt = right.withColumn("__w", F.explode(F.array_distinct(F.concat(F.coalesce(others, F.array().cast("array<string>")), F.array(F.lit(""))))))
     count = spelt.groupBy(*on, "__w").agg(F.count("*").alias("__n"))
     each = left.withColumn("__id", F.xxhash64(*left.columns)).withColumn("__w", F.explode(F.when(F.size(words) > 0, F.col(words)).otherwise(F.array(F.lit("")))))
-    rare = each.join(count, [*on, "__w"], "left").groupBy("__id").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "__w")).alias("m")).select("__id", F.col("m.__w").alias("__w"))
-    pairs = each.join(rare, ["__id", "__w"]).join(spelt, [*on, "__w"])
+    rare = each.join(count.hint("merge"), [*on, "__w"], "left").groupBy("__id").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "__w")).alias("m")).select("__id", F.col("m.__w").alias("__w"))
+    pairs = each.join(rare.hint("merge"), ["__id", "__w"]).join(spelt.hint("merge"), [*on, "__w"])
     return pairs.where(F.size(F.array_except(words, others)) == 0).drop("__w", "__id")
 
 
+def holders(rows: DataFrame, key: str, on: list[str], words: str) -> DataFrame:
+    """(key, n, first): how many rows with another key agree ``on`` columns and have all words of the key's rows, and the least such key; keys without any are left out. Only
+    distinct sets of words meet, each with its count and its two least keys, of which one is another: rows of one set are not paired, so the work grows with the sets."""
+    sets = rows.where(" and ".join(f"{c} is not null" for c in (key, *on, words))).select(*on, key, F.array_sort(F.array_distinct(words)).alias("__set"))
+    each = sets.groupBy(*on, "__set", key).agg(F.count("*").alias("__rows"))
+    place = F.row_number().over(Window.partitionBy(*on, "__set").orderBy(key))
+    least = each.withColumn("__k", place).where("__k <= 2").groupBy(*on, "__set").agg(F.array_sort(F.collect_list(key)).alias("__keys"))
+    right = each.groupBy(*on, "__set").agg(F.sum("__rows").alias("__size")).join(least.hint("merge"), [*on, "__set"]).withColumnRenamed("__set", "__held")
+    right = keep(right, "sets")
+    met = contained(right.select(*on, F.col("__held").alias("__set")), right, on, "__set", "__held")
+    least_two = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_set("__keys")))), 1, 2)
+    met = met.groupBy(*on, "__set").agg(F.sum("__size").alias("__size"), least_two.alias("__keys"))
+    # Rows of the same key are no others: of one row per key, as keys mostly have, that is the row itself.
+    own = each.groupBy(key).agg(F.collect_list(F.struct(*on, "__set", "__rows")).alias("__own")).select(key, "__own", F.explode("__own").alias("__o")).select(key, "__own", "__o.*")
+    agree = lambda x: functools.reduce(lambda a, b: a & b, [x[c] == F.col(c) for c in on]) & (F.size(F.array_except("__set", x["__set"])) == 0)
+    same = F.aggregate(F.filter("__own", agree), F.lit(0).cast("long"), lambda a, x: a + x["__rows"])
+    others = own.join(met.hint("merge"), [*on, "__set"]).withColumn("__others", F.col("__size") - same).where("__others > 0")
+    other = F.when(F.col("__keys")[0] == F.col(key), F.try_element_at("__keys", F.lit(2))).otherwise(F.col("__keys")[0])
+    return others.groupBy(key).agg(F.sum(F.col("__rows") * F.col("__others")).alias("n"), F.min(other).alias("first"))
+
+
 def tiered(names: DataFrame, register: DataFrame, key: str, name: str, id_: str, reg_name: str, address: str | None = None) -> DataFrame:
     """(key, result, tier, ids): candidates agree in kind and numbers and hold all words of the name; a tier counts only if the one before found nothing; several
     candidates of a tier are ambiguous. Names without a known kind match nothing."""

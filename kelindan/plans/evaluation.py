@@ -109,10 +109,9 @@ def venue_matches(spark: SparkSession, d: str) -> DataFrame:
 
 def part_tiers(spark: SparkSession, d: str) -> DataFrame:
     """Parts of one brand and size whose names' words are all in another's name."""
-    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_size", F.array_distinct(F.split(F.lower("p_name"), " +")).alias("w"))
-    other = p.select("p_brand", "p_size", F.col("p_partkey").alias("match"), F.col("w").alias("w2"))
-    hit = M.contained(p, other, ["p_brand", "p_size"], "w", "w2").where("p_partkey <> match").groupBy("p_partkey").agg(F.count("*").alias("n"), F.min("match").alias("first_match"))
-    return hit.select("p_partkey", "n", "first_match", F.when(F.col("n") == 1, "matched").otherwise("ambiguous").alias("result"))
+    return M.holders(table(spark, d, "part").withColumn("w", F.split(F.lower("p_name"), " +")), "p_partkey", ["p_brand", "p_size"], "w").select(
+        "p_partkey", "n", F.col("first").alias("first_match"), F.when(F.col("n") == 1, "matched").otherwise("ambiguous").alias("result")
+    )
 
 
 def fuzzy_tier(spark: SparkSession, d: str) -> DataFrame:

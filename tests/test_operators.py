@@ -16,6 +16,7 @@ from kelindan.operators import corpus as C
 from kelindan.operators import evaluation as E
 from kelindan.operators import ledger as L
 from kelindan.operators import linking as K
+from kelindan.operators import matching as M
 from kelindan.plans import corpus as P
 
 
@@ -208,3 +209,23 @@ def test_two_labellers(spark):
     got = {r.what: (r.n, r.observed) for r in E.agreement_of(a, b, "id", {"label": F.col("label"), "about": F.col("about")}).collect()}
     assert got == {"label": (2, 0.5), "about": (2, 0.5)}
     assert rows(a.select("id", E.positive(F.col("label"), F.col("about"), "NO").alias("s"), E.positive(F.col("label"), F.col("about"), "NO", False).alias("l"))) == [(1, False, False), (2, False, True), (3, False, False)]
+
+
+def test_holders_count_rows_of_other_keys(spark):
+    parts = [(1, "a", 1, "x y"), (2, "a", 1, "y x"), (3, "a", 1, "x"), (4, "a", 2, "x y"), (5, "a", 1, "x y z"), (5, "a", 1, "x y"), (5, "a", 1, "y"), (None, "a", 1, "x"), (6, None, 1, "x"), (7, "a", 1, None), (8, "b", 1, "x"), (8, "b", 1, "x")]
+    df = spark.createDataFrame(parts, "k int, brand string, size int, name string").withColumn("w", F.split("name", " "))
+    want = {}
+    for k, b, s, n in parts:
+        for k2, b2, s2, n2 in parts:
+            if None not in (k, b, s, n, k2, n2) and (b, s) == (b2, s2) and k != k2 and set(n.split()) <= set(n2.split()):
+                want.setdefault(k, []).append(k2)
+    got = {r.k: (r.n, r.first) for r in M.holders(df, "k", ["brand", "size"], "w").collect()}
+    assert got == {k: (len(v), min(v)) for k, v in want.items()}
+
+
+def test_holders_pair_sets_not_rows(spark, tmp_path):
+    """A small file of many rows of few names: nothing as large as its rows is broadcast, whatever the file's size."""
+    spark.range(20_000).select(F.col("id").alias("k"), F.lit("a").alias("brand"), F.array(F.lit("x"), (F.col("id") % 2).cast("string")).alias("w")).write.parquet(str(tmp_path / "parts"))
+    got = M.holders(spark.read.parquet(str(tmp_path / "parts")), "k", ["brand"], "w")
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.agg(F.min("n"), F.max("n"), F.max("first"), F.count("*")).first()[:] == (9999, 9999, 3, 20_000)
