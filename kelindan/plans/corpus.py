@@ -26,7 +26,7 @@ def shingle_df(spark: SparkSession, d: str) -> DataFrame:
 
 
 def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return C.similar_pairs(_texts(spark, d)).select("a", "b", F.col("shared").cast("long").alias("shared"), F.round("jaccard", 6).alias("jaccard"))
+    return C.similar_pairs(table(spark, d, "documents").select("doc_id", "text")).select("a", "b", F.col("shared").cast("long").alias("shared"), F.round("jaccard", 6).alias("jaccard"))
 
 
 def dup_clusters(spark: SparkSession, d: str) -> DataFrame:

@@ -229,3 +229,16 @@ def test_holders_pair_sets_not_rows(spark, tmp_path):
     got = M.holders(spark.read.parquet(str(tmp_path / "parts")), "k", ["brand"], "w")
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
     assert got.agg(F.min("n"), F.max("n"), F.max("first"), F.count("*")).first()[:] == (9999, 9999, 3, 20_000)
+
+
+def test_similar_pairs_of_repeated_ids_and_equal_texts(spark):
+    words = [f"w{i}" for i in range(40)]
+    texts = [(1, words), (2, words), (3, words[:38] + ["x"]), (4, words[:20]), (4, words[20:]), (5, words[:22]), (6, ["Ab", "c"]), (7, ["ab", "C"]), (8, []), (9, words[:20]), (9, words[:20])]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id int, text string")
+    sets = {}
+    for i, t in texts:
+        t = [w.lower() for w in t]
+        sets.setdefault(i, set()).update(tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4)) if t)
+    want = {(a, b): (len(x & y), len(x & y) / len(x | y)) for a, x in sets.items() for b, y in sets.items() if a < b and x and y and len(x & y) / len(x | y) >= 0.7}
+    got = {(r.a, r.b): (r.shared, r.jaccard) for r in C.similar_pairs(df).collect()}
+    assert got == want and (1, 4) in want and (6, 7) in want
