@@ -256,6 +256,13 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.7, k: int = 5, doc: str
     return between.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared", "jaccard")
 
 
+def similar_clusters(docs: DataFrame, threshold: float = 0.7, k: int = 5, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """``clusters`` of ``similar_pairs``, by way of classes: documents of one set are not paired with each other."""
+    pairs, members = similar_classes(docs, threshold, k, doc, text)
+    links = pairs.select("a", "b").union(members.where("d <> rep").select(F.col("rep").alias("a"), F.col("d").alias("b")))
+    return clusters(docs, links, doc)
+
+
 def clusters(nodes: DataFrame, pairs: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(doc, cluster_id): least document linked directly or indirectly. Labels spread along pairs and by pointer doubling, so rounds grow with the logarithm
     of a chain's length; each round is written to the shared folder."""

@@ -30,8 +30,7 @@ def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dup_clusters(spark: SparkSession, d: str) -> DataFrame:
-    docs = _texts(spark, d)
-    return C.clusters(docs, C.similar_pairs(docs))
+    return C.similar_clusters(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def canonical_docs(spark: SparkSession, d: str) -> DataFrame:

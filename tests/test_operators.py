@@ -242,3 +242,4 @@ def test_similar_pairs_of_repeated_ids_and_equal_texts(spark):
     want = {(a, b): (len(x & y), len(x & y) / len(x | y)) for a, x in sets.items() for b, y in sets.items() if a < b and x and y and len(x & y) / len(x | y) >= 0.7}
     got = {(r.a, r.b): (r.shared, r.jaccard) for r in C.similar_pairs(df).collect()}
     assert got == want and (1, 4) in want and (6, 7) in want
+    assert {r.doc_id: r.cluster_id for r in C.similar_clusters(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6, 7: 6, 8: 8, 9: 5}
